@@ -8,18 +8,10 @@ from ..operators import quiz as Z
 from ..operators import study as S
 from ..sources import views as V
 from ..sources.views import AS_OF, with_views
+from .registry import Registry
 
-QUERIES, ORACLES = {}, {}
-
-
-def register(name, sql=None):
-    def wrap(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return wrap
+register = Registry()
+QUERIES, ORACLES = register.queries, register.oracles
 
 
 STRENGTH = f"""

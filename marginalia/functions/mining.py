@@ -75,7 +75,7 @@ def definition_part(c: Column, part: int) -> Column:
 
 
 def definition_term(c: Column) -> Column:
-    trimmed = strip(collapse(definition_part(c, 1)), " ,.;:\\-")
+    trimmed = strip(collapse(definition_part(c, 1)), " ,.;:-")
     return F.regexp_replace(trimmed, r"(?i)^(?:the|a|an)\s+", "")
 
 

@@ -75,7 +75,7 @@ def boilerplate_rule(c: Column) -> Column:
     size = F.length(text)
     short = size < K.SHORT_CHUNK_CHARS
     lives = F.regexp_count(text, F.lit(K.BIOGRAPHY))
-    residue = strip(F.regexp_replace(text, K.JOURNAL_HEADER, " "), " \\t\\n,.;:\\-—")
+    residue = strip(F.regexp_replace(text, K.JOURNAL_HEADER, " "), " \t\n,.;:-—")
     return (
         F.when(size == 0, F.lit(None).cast("string"))
         .when(text.rlike(K.BARE_PAGE_NUMBER) & text.rlike("\\d"), "page_number")
@@ -96,7 +96,7 @@ def is_boilerplate(c: Column) -> Column:
 
 def is_contact_block(block: Column) -> Column:
     text = strip(block)
-    without = strip(F.regexp_replace(text, EMAIL, " "), " ,;{}()\\n\\t")
+    without = strip(F.regexp_replace(text, EMAIL, " "), " ,;{}()\n\t")
     return (
         (F.length(text) > 0)
         & (F.length(text) <= 200)

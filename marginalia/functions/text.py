@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import constants as K
 
 BLANK = "\\s+"
+WHITESPACE = " \t\n\r\x0b\x0c"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,12 +22,21 @@ def blank_safe(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def strip(c: Column, chars: str = "\\s") -> Column:
-    return F.regexp_replace(blank_safe(c), f"^[{chars}]+|[{chars}]+$", "")
+def once(value: Column) -> Column:
+    """Evaluate ``value`` one time per row.
+
+    Filters above a plain projection are pushed below it with the expression
+    copied into every use; a one-element generator is a boundary they respect.
+    """
+    return F.explode(F.array(value))
+
+
+def strip(c: Column, chars: str = WHITESPACE) -> Column:
+    return F.btrim(blank_safe(c), F.lit(chars))
 
 
 def strip_right(c: Column, chars: str) -> Column:
-    return F.regexp_replace(blank_safe(c), f"[{chars}]+$", "")
+    return F.rtrim(blank_safe(c), F.lit(chars))
 
 
 def collapse(c: Column) -> Column:
@@ -61,7 +71,7 @@ def shorten(c: Column, limit: int, floor: float) -> Column:
         spaced = last_index(head, " ")
         word_cut = F.when(spaced > 0, F.expr("null").cast("string")).otherwise(head)
         word_cut = F.coalesce(word_cut, F.substring(head, F.lit(1), spaced))
-        out = F.concat(strip_right(word_cut, ",;:\\- "), F.lit("…"))
+        out = F.concat(strip_right(word_cut, ",;:- "), F.lit("…"))
         for mark in ("? ", "! ", ". "):
             at = last_index(head, mark)
             out = F.when(at > limit * floor, F.trim(F.substring(head, F.lit(1), at + 1))).otherwise(out)
@@ -129,7 +139,7 @@ def strip_preamble(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return strip(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", "-"), "\\-")
+    return strip(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", "-"), "-")
 
 
 MODERN_OR_LEGACY_ID = r"(?i)^(?:arxiv:)?\s*((?:\d{4}\.\d{4,5}(?:v\d+)?)|(?:[a-z\-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?))$"
@@ -141,7 +151,8 @@ def normalize_article_id(c: Column) -> Column:
 
 
 def paper_id_of(c: Column) -> Column:
-    return slug(F.regexp_replace(normalize_article_id(c), "v\\d+$", ""))
+    known = normalize_article_id(c)
+    return F.when(known.isNotNull(), slug(F.regexp_replace(known, "v\\d+$", "")))
 
 
 def chunk_id(paper_id: Column, ordinal: Column) -> Column:
