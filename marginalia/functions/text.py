@@ -170,7 +170,8 @@ def keyword_score(text: Column, keywords: list[str], phrase_weight: int = 1) ->
     """Occurrences of each keyword in ``text`` (already lower case), summed."""
     total = F.lit(0)
     for word in keywords:
-        hits = F.regexp_count(text, F.lit("\\Q" + word + "\\E"))
+        removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))
+        hits = (removed / len(word.encode())).cast("int")
         total = total + hits * (phrase_weight if " " in word else 1)
     return total
 

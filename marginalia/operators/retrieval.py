@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.quality import is_textual
-from ..functions.text import blank_safe, digest_mod, keyword_score, let, strip, words
+from ..functions.text import blank_safe, digest_mod, keyword_score, let, once, strip, words
 from .skew import first_per_key, running_number, top_per_key
 
 DIM = 1024
@@ -82,13 +82,13 @@ def hash_vector(text: Column, dim: int = DIM) -> Column:
         ends = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at), F.lit(1))), F.array(count + 1))
         sizes = F.zip_with(at, ends, lambda a, b: (b - a).cast("double"))
         buckets = F.transform(at, lambda i: F.element_at(sorted_buckets, i))
-        return let(
-            sizes,
-            lambda n: F.struct(
-                buckets.alias("buckets"),
-                F.transform(n, lambda v: v / F.sqrt(F.aggregate(n, F.lit(0.0), lambda acc, x: acc + x * x))).alias("weights"),
-            ),
-        )
+        def scaled(n: Column) -> Column:
+            norm = F.sqrt(F.aggregate(n, F.lit(0.0), lambda acc, x: acc + x * x))
+            return let(
+                norm, lambda d: F.struct(buckets.alias("buckets"), F.transform(n, lambda v: v / d).alias("weights"))
+            )
+
+        return let(sizes, scaled)
 
     hashed = F.array_sort(F.transform(words(F.lower(blank_safe(text))), lambda t: bucket_of(t, dim)))
     return F.when(
@@ -271,7 +271,7 @@ def fallback_bucket(chunks: DataFrame) -> DataFrame:
 
     Adds ``section`` and ``score``; sections are scored inside each chunk row.
     """
-    low = F.lower(blank_safe(F.col("text")))
+    low = F.col("_low")
     scores = F.array(
         *[
             F.struct(F.lit(name).alias("section"), keyword_score(low, keywords).alias("score"))
@@ -279,7 +279,8 @@ def fallback_bucket(chunks: DataFrame) -> DataFrame:
         ]
     )
     written = chunks.filter(F.col("modality").isin("text", "ocr"))
-    rows = written.select("*", F.explode(scores).alias("s")).select("*", "s.section", "s.score").drop("s")
+    lowered = written.withColumn("_low", once(F.lower(blank_safe(F.col("text")))))
+    rows = lowered.select("*", F.explode(scores).alias("s")).select("*", "s.section", "s.score").drop("s", "_low")
     order = [F.desc("score"), F.col("rank"), F.col("chunk_id")]
     best = top_per_key(rows, ["paper_id", "section"], order, K.FALLBACK_CHUNKS_PER_SECTION, "place")
     top = F.max("score").over(W.partitionBy("paper_id", "section"))
