@@ -467,8 +467,8 @@ def _score_sql(x: str, keywords: list[str], weight: int = 2) -> str:
 def sentence_scores(spark, sf):
     rows = T.sentence_candidates(_first_24(spark, sf), ["paper_id"])
     return rows.select(
-        "paper_id", "rank", "sent_no", T.sentence_score(F.col("sentence"), K.GLANCE_KEYWORDS["Approach"]).alias("approach"),
-        T.sentence_score(F.col("sentence"), K.GLANCE_KEYWORDS["Headline result"], True).alias("headline"),
+        "paper_id", "rank", "sent_no", T.sentence_score(F.col("low"), K.GLANCE_KEYWORDS["Approach"]).alias("approach"),
+        T.sentence_score(F.col("low"), K.GLANCE_KEYWORDS["Headline result"], True).alias("headline"),
     )
 
 
@@ -515,6 +515,8 @@ def _usable_term(x: str) -> str:
 
 
 EDGE = " \\-—:;,."
+# RE2 boundaries are ASCII: accented letters become "_", a word character no term contains
+ASCII = "regexp_replace(regexp_replace(s, '[—…“”’•×]', ' ', 'g'), '[^\\x00-\\x7f]', '_', 'g')"
 EXP_RE = r"((?:[A-Za-z][\pL\pN_\-]*\s+){1,5}[A-Za-z][\pL\pN_\-]*)\s*\(\s*([A-Z][A-Za-z0-9\-]{1,9})s?\s*\)"
 
 
@@ -523,8 +525,8 @@ EXP_RE = r"((?:[A-Za-z][\pL\pN_\-]*\s+){1,5}[A-Za-z][\pL\pN_\-]*)\s*\(\s*([A-Z][
     with_views("passages") + f""",
   s0 as (select paper_id, ordinal as rank, unnest({X.sentences('text')}) as s, unnest(range(0, len({X.sentences('text')}))) as sn from passages),
   s1 as (select * from s0 where not {X.is_boilerplate('s')} and {X.prose_score('s')} >= 0.15),
-  e0 as (select *, regexp_extract_all(s, {X.q(X.LEFT + EXP_RE)}, 1) as ls, regexp_extract_all(s, {X.q(X.LEFT + EXP_RE)}, 2) as ss, regexp_extract_all(s, {X.q(X.LEFT + '([A-Z][A-Za-z0-9' + chr(92) + '-]*[A-Z0-9])' + '(?:$|[^' + chr(92) + 'pL' + chr(92) + 'pN_])')}, 1) as acs,
-     regexp_extract_all(s, {X.q(X.LEFT + '([A-Z][a-z]{2,}(?:[ ' + chr(92) + '-][A-Z][a-z]{2,}){1,3})' + X.RIGHT)}, 1) as phs from s1),
+  e0 as (select *, regexp_extract_all(s, {X.q(X.LEFT + EXP_RE)}, 1) as ls, regexp_extract_all(s, {X.q(X.LEFT + EXP_RE)}, 2) as ss, regexp_extract_all({ASCII}, {X.q(chr(92) + 'b([A-Z][A-Za-z0-9' + chr(92) + '-]*[A-Z0-9])' + chr(92) + 'b')}, 1) as acs,
+     regexp_extract_all({ASCII}, {X.q(chr(92) + 'b([A-Z][a-z]{2,}(?:[ ' + chr(92) + '-][A-Z][a-z]{2,}){1,3})' + chr(92) + 'b')}, 1) as phs from s1),
   offers as (
     select paper_id, rank, sn, s, 0 as kind, unnest(range(0, len(ss))) as place, unnest(ss) as raw, unnest(ls) as long, 6 as score, false as bare from e0 union all
     select paper_id, rank, sn, s, 1, unnest(range(0, len(acs))), unnest(acs), null, 2, true from e0 union all

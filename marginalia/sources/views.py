@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a text table read as a few splits one partition per core.
+
+    Large tables already have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- study ---------------------------------------------------------------------
 
 RATING = (
@@ -136,7 +145,7 @@ case ordinal % 11 when 0 then 'Introduction' when 3 then 'Methods' when 6 then '
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """One row per line of every document; four lines make a page."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("paper_id"), "lang", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")
     ).withColumn("page", (F.floor(F.col("ordinal") / 4) + 1).cast("int"))
 
@@ -181,7 +190,7 @@ def library(spark: SparkSession, sf: str) -> DataFrame:
     """Paper metadata, one row per document."""
     string = {"string": "string"}
     return (
-        table(spark, sf, "documents")
+        spread(table(spark, sf, "documents"), "doc_id")
         .selectExpr(
             "doc_id as paper_id",
             ARTICLE_ID.format(**string) + " as article_id",
