@@ -275,7 +275,8 @@ def _paper_citations(spark, sf):
   u as (select *, not regexp_matches(body, '(?i)^(first|second|third|fourth|fifth|initially|then|next|finally|subsequently|afterwards?|after\\s+that|lastly)(?:[,:]\\s+|\\s+)') as later from b
      where len(body) between 45 and 320 and not {X.is_boilerplate('body')} and {X.prose_score('body')} >= 0.2),
   c as (select *, row_number() over (partition by paper_id, chunk_id order by later, sn) as bn from u qualify bn <= 3)
-  select paper_id, row_number() over (partition by paper_id order by rank, bn)::int as a, chunk_id, body from c qualify a <= 30""",
+  select paper_id, row_number() over (partition by paper_id order by rank, bn)::int as a, chunk_id, case when {X.has('body', M.QUIZ_DEFINITION)} and len({X.strip(f"regexp_extract(body, {X.q(M.QUIZ_DEFINITION)}, 2)")}) >= 30
+    then {X.strip(f"regexp_extract(body, {X.q(M.QUIZ_DEFINITION)}, 2)")} else body end as body from c qualify a <= 30""",
 )
 def pool_sources(spark, sf):
     return Z.pool_sources(_ranked(spark, sf)).select("paper_id", "a", "chunk_id", F.col("body"))

@@ -22,7 +22,7 @@ from ..functions.quality import (
     strip_title_block,
 )
 from ..functions.text import collapse, let, once, strip
-from .skew import first_per_key
+from .skew import first_per_key, reliable
 
 FURNITURE_EDGES = " \t\r\n,.;:-—"
 
@@ -38,14 +38,28 @@ def common_prefix_length(a: Column, b: Column) -> Column:
 def running_headers(chunks: DataFrame, scope: list[str]) -> DataFrame:
     """Q-07: header text of every opening seen on three or more pages.
 
-    The common prefix of a group equals that of its smallest and largest member,
-    so one combining aggregation finds it however large the group is.
+    Most openings occur once, so a cheap count over their hashes finds the few
+    that can repeat, and only their rows are looked at again. The common prefix
+    of a group equals that of its smallest and largest member, so one combining
+    aggregation finds it however large the group is.
     """
-    sample = F.left(collapse(F.col("text")), F.lit(K.MAX_HEADER_CHARS + 1))
-    rows = chunks.select(
-        *scope, "page", "chunk_id", header_prefix(F.col("text")).alias("opening"), F.lower(sample).alias("sample"),
-        F.length(collapse(F.col("text"))).alias("size"), "rank",
-    ).filter(F.length("opening") >= K.MIN_PREFIX_CHARS)
+    opened = chunks.withColumn("opening", once(header_prefix(F.col("text")))).withColumn("_h", F.xxhash64("opening"))
+    counted = (
+        opened.filter(F.length("opening") >= K.MIN_PREFIX_CHARS)
+        .groupBy(*scope, "_h")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("page").alias("_lo"), F.max("page").alias("_hi"))
+    )
+    repeating = counted.filter((F.col("_n") >= K.MIN_HEADER_PAGES) & (F.col("_hi") - F.col("_lo") >= K.MIN_HEADER_PAGES - 1))
+    flat = collapse(F.col("text"))
+    rows = (
+        opened.join(repeating.select(*scope, "_h"), [*scope, "_h"], "left_semi")
+        .filter(F.length("opening") >= K.MIN_PREFIX_CHARS)
+        .withColumn("flat", once(flat))
+        .select(
+            *scope, "page", "chunk_id", "opening", F.lower(F.left("flat", F.lit(K.MAX_HEADER_CHARS + 1))).alias("sample"),
+            F.length("flat").alias("size"), "rank",
+        )
+    )
     groups = (
         rows.groupBy(*scope, "opening")
         .agg(
@@ -72,7 +86,7 @@ def running_headers(chunks: DataFrame, scope: list[str]) -> DataFrame:
 def strip_running_headers(chunks: DataFrame, scope: list[str]) -> DataFrame:
     """Q-07: remove repeated headers; a row with nothing else left is dropped."""
     headers = running_headers(chunks, scope)
-    joined = chunks.withColumn("opening", header_prefix(F.col("text"))).join(headers, [*scope, "opening"], "left")
+    joined = chunks.withColumn("opening", once(header_prefix(F.col("text")))).join(headers, [*scope, "opening"], "left")
     quoted = F.transform(F.split("header", " "), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
     pattern = F.concat(F.lit("(?i)^\\s*"), F.array_join(quoted, "\\s+"))
     plain = collapse(F.col("text")) == F.col("text")
@@ -100,20 +114,23 @@ def demote_low_prose(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("low_prose", once(prose_score(F.col("text")) < K.MIN_PROSE_SCORE))
 
 
-def narrative_chunks(chunks: DataFrame, scope: list[str], allow_fallback: bool = True) -> DataFrame:
+def narrative_chunks(chunks: DataFrame, scope: list[str], allow_fallback: bool = True, stage: bool = False) -> DataFrame:
     """Q-12: headers, front matter, captions, boilerplate and repeats removed.
 
     Order the result by ``low_prose, rank``. A scope that loses every row gets
     its original rows back, without repeats, when ``allow_fallback`` is set.
+    ``stage`` stores the rows that pass the filters instead of finding them
+    twice; use it when the input is a top-k result, not a whole corpus.
     """
     stripped = strip_running_headers(chunks, scope)
     fronted = stripped.withColumn("text", once(strip_title_block(F.col("text"))))
     kept = fronted.filter(~is_caption(F.col("text")) & ~is_boilerplate(F.col("text")))
+    if allow_fallback and stage:
+        kept = reliable(kept)
     cleaned = demote_low_prose(dedupe_similar(kept, scope))
     if not allow_fallback:
         return cleaned
-    alive = cleaned.select(*scope).distinct()
-    emptied = chunks.join(alive, scope, "left_anti")
+    emptied = chunks.join(kept.select(*scope).distinct(), scope, "left_anti")
     return cleaned.unionByName(dedupe_similar(emptied, scope).withColumn("low_prose", F.lit(False)))
 
 
