@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-TOPICS = ["study", "text", "retrieval", "library", "reports", "decks"]
+TOPICS = ["study", "text", "retrieval", "library", "reports", "decks", "streams"]
 
 
 def _merged(attribute: str) -> dict:

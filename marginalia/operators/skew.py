@@ -20,14 +20,18 @@ SALTS = 64
 BUCKET_ROWS = 4096
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage on shared storage named by ``spark.checkpoint.dir``."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return named or context.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cut lineage on shared storage, so lost executors never lose the rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
