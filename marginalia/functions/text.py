@@ -200,23 +200,19 @@ def enum_or(c: Column, allowed: list[str], default: str) -> Column:
     return F.when(c.isin(allowed), c).otherwise(F.lit(default))
 
 
-def digest_mod(hex_digest: Column, n: int) -> Column:
-    """A hex digest of any length modulo ``n``, folded digit by digit."""
-    digits = F.split(hex_digest, "")
-    return F.aggregate(
-        F.filter(digits, lambda d: d != ""),
-        F.lit(0).cast("bigint"),
-        lambda acc, d: (acc * 16 + F.conv(d, 16, 10).cast("bigint")) % n,
-    )
+def digest_mod(hex_digest: Column, n: int, digits: int = 40) -> Column:
+    """A hex digest modulo ``n``: eight digits at a time, so nothing overflows."""
+    total, step = F.lit(0).cast("bigint"), 16**8 % n
+    for start in range(1, digits + 1, 8):
+        piece = F.conv(F.substring(hex_digest, start, 8), 16, 10).cast("bigint")
+        total = (total * step + piece) % n
+    return total
 
 
 def stable_choice(seed: Column, options: list[Column]) -> Column:
     """G-21: sha1(casefold(seed)) mod n picks one of the options."""
     pick = digest_mod(F.sha1(casefold(blank_safe(seed))), len(options))
-    out = options[-1]
-    for index in range(len(options) - 1, -1, -1):
-        out = F.when(pick == index, options[index]).otherwise(out)
-    return out
+    return F.element_at(F.array(*options), (pick + 1).cast("int"))
 
 
 def casefold(c: Column) -> Column:

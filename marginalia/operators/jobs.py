@@ -22,11 +22,15 @@ def latest_stage_status(events: DataFrame) -> DataFrame:
 
 
 def reconcile_stages(stages: DataFrame) -> DataFrame:
-    """M-01: every job shows the seven stages in order; missing ones are pending."""
-    domain = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("stage")) for i, s in enumerate(K.STAGE_ORDER)])).alias("d")
-    jobs = stages.select("job_id", "paper_id").distinct().select("job_id", "paper_id", domain)
-    grid = jobs.select("job_id", "paper_id", F.col("d.i").alias("stage_index"), F.col("d.stage").alias("stage"))
-    return grid.join(stages.drop("paper_id"), ["job_id", "stage"], "left").fillna("pending", ["status"])
+    """M-01: every job shows the seven stages in order; missing ones are pending.
+
+    ``stages`` has one row per job and stage, so a job collects at most seven.
+    """
+    names = F.array(*[F.lit(s) for s in K.STAGE_ORDER])
+    jobs = stages.groupBy("job_id", "paper_id").agg(F.collect_list(F.struct("stage", "status")).alias("_seen"))
+    grid = jobs.select("job_id", "paper_id", "_seen", F.posexplode(names).alias("stage_index", "stage"))
+    own = F.try_element_at(F.filter("_seen", lambda s: s["stage"] == F.col("stage")), F.lit(1))["status"]
+    return grid.withColumn("status", F.coalesce(own, F.lit("pending"))).drop("_seen")
 
 
 def stage_percent(stage: Column, status: Column) -> Column:

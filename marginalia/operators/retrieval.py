@@ -59,7 +59,7 @@ def encode(chunks: DataFrame, encoder: Callable[[Sequence[str]], Sequence[Sequen
 def bucket_of(token: Column, dim: int) -> Column:
     if 4096 % dim == 0:  # the low twelve bits of the digest decide
         return (F.conv(F.right(F.md5(token), F.lit(3)), 16, 10).cast("int") % dim).cast("int")
-    return digest_mod(F.md5(token), dim).cast("int")
+    return digest_mod(F.md5(token), dim, digits=32).cast("int")
 
 
 def hash_vector(text: Column, dim: int = DIM) -> Column:
