@@ -23,9 +23,6 @@ QUERIES, ORACLES = register.queries, register.oracles
 # --- merges ---------------------------------------------------------------------
 # stored rows are customers; the change batch touches some and adds new keys
 
-STORED = "select c_custkey as paper_id, c_name as title, c_mktsegment as status, cast(null as {s}) as error_message, c_acctbal as score, false as ingested from customer"
-CHANGES = "select s_suppkey * 40 as paper_id, s_name as title, s_acctbal as score from supplier"
-
 
 def _stored(spark, sf):
     return V.table(spark, sf, "customer").selectExpr(
@@ -109,11 +106,6 @@ def star_cards(spark, sf):
     return M.starred_counts(M.patch(V.cards(spark, sf), stars, "card_id", ["starred"]))
 
 
-GENERATED = (
-    "select card_id + 600 as card_id, paper_id, concat('k', (card_id + 600) // 2) as content_key, concat(front, ' new') as front, 'fact' as origin, card_id as seq from cards"
-)
-
-
 def _deck(spark, sf):
     now = "timestamp '2024-02-01 00:00:00'"
     stored = V.cards(spark, sf).selectExpr(

@@ -111,12 +111,12 @@ MENTION_SQL = X.LEFT + r"((?:Fig(?:ure)?s?\.?|Tables?\.?)\s*\.?\s*\d+(?:\s*(?:,|
      lambda n: {{'kind': case when lower(h) like 'table%' then 'table' else 'figure' end, 'number': n::int}}))) as ms from hits),
   named as (select report_id, name, unnest(ms) as m, unnest(range(0, len(ms))) as pos from flat),
   found as (select n.report_id, n.name, media_id, min(pos) as pos from named n join idx on idx.report_id = n.report_id and idx.kind = m.kind and idx.number = m.number
-     where (n.report_id, n.name, media_id) not in (select report_id, name, chunk_id from sections where ordinal % 3 = 0) group by 1, 2, 3)
+     where (n.report_id, n.name, media_id) not in (select report_id, name, chunk_id from sections where badge is not null) group by 1, 2, 3)
   select report_id, name, media_id, row_number() over (partition by report_id, name order by pos)::int as rank from found qualify rank <= 3""",
 )
 def figure_links(spark, sf):
     sections = _sections(spark, sf)
-    attached = sections.filter("ordinal % 3 = 0").select("report_id", "name", F.col("chunk_id").alias("media_id"))
+    attached = sections.filter("badge is not null").select("report_id", "name", F.col("chunk_id").alias("media_id"))
     return P.link_figures(sections, _media(spark, sf), attached)
 
 
@@ -215,7 +215,7 @@ def cite_resolve(spark, sf):
     "report_stats",
     with_views("passages") + "," + SECTIONS + "," + MEDIA + """,
   s as (select report_id, sum(len(regexp_extract_all(body, '\\S+')) + len(regexp_extract_all(coalesce(deep_dive, ''), '\\S+'))) as words, bool_or(name = 'Figures') as has_figures from sections group by 1),
-  m as (select report_id, count(*) as media, count(*) filter (where position % 11 = 6) as figures_media from media where position % 2 = 0 group by 1),
+  m as (select report_id, count(*) as media, count(*) filter (where position % 11 = 6) as figures_media from media where kind = 'figure' group by 1),
   c as (select report_id, count(*) as n from sections where body like '%[%' group by 1),
   p as (select distinct report_id, page as page_count, case when paper_id % 2 = 0 then (paper_id % 9)::int end as figure_count from sections)
   select report_id, page_count as pages, case when has_figures then coalesce(figures_media, 0) when coalesce(media, 0) > 0 then media else coalesce(figure_count, 0) end as figures,
@@ -223,7 +223,7 @@ def cite_resolve(spark, sf):
 )
 def report_stats(spark, sf):
     sections = _sections(spark, sf)
-    media = _media(spark, sf).filter("position % 2 = 0").withColumn("name", F.expr("case when position % 11 = 6 then 'Figures' else 'Methods' end"))
+    media = _media(spark, sf).filter("kind = 'figure'").withColumn("name", F.expr("case when position % 11 = 6 then 'Figures' else 'Methods' end"))
     papers = sections.selectExpr("report_id", "page as page_count", "case when paper_id % 2 = 0 then cast(paper_id % 9 as int) end as figure_count").distinct()
     return P.report_stats(sections, media, sections.filter(F.contains("body", F.lit("["))), papers)
 
@@ -306,8 +306,8 @@ def round_trip(spark, sf):
   blocks as (select report_id, section_no, concat('## ', name, case when badge is not null then concat(' — ', badge) else '' end, chr(10),
       case when {X.strip('body')} <> '' or body <> '' then concat(chr(10), {X.strip('body')}, chr(10)) else '' end,
       case when deep_dive is not null then concat(chr(10), '### Deep dive', chr(10), deep_dive, chr(10)) else '' end,
-      case when ordinal % 3 = 1 then concat(chr(10), '![Cap ', ordinal, '](p.png)', chr(10), '*Fig ', ordinal, ': Cap ', ordinal, '*', chr(10)) else '' end,
-      case when ordinal % 3 = 2 then concat(chr(10), '**Citations:**', chr(10), '[1] S (page ', page, '): "', ordinal, '"', chr(10)) else '' end) as b from sections)
+      case when deep_dive is not null then concat(chr(10), '![Cap ', ordinal, '](p.png)', chr(10), '*Fig ', ordinal, ': Cap ', ordinal, '*', chr(10)) else '' end,
+      case when deep_dive is null then concat(chr(10), '**Citations:**', chr(10), '[1] S (page ', page, '): "', ordinal, '"', chr(10)) else '' end) as b from sections)
   select report_id, concat({X.strip("concat('# Report ', report_id, chr(10), '*A, B*', chr(10), 'L · x', chr(10), chr(10), '**3 pages** · **4 figures** · **5 citations** · **6 min read**', chr(10), chr(10), string_agg(b, chr(10) order by section_no))")}, chr(10)) as markdown
   from blocks group by report_id""",
 )
@@ -317,10 +317,10 @@ def markdown(spark, sf):
         "report_id", "concat('Report ', report_id) as title", "array('A', 'B') as authors", "'L' as label", "array('x') as categories",
         "cast(null as date) as published", "3 as pages", "4 as figures", "5 as citations_extracted", "6 as reading_time_min",
     )
-    media = sections.filter("ordinal % 3 = 1").selectExpr(
+    media = sections.filter("deep_dive is not null").selectExpr(
         "report_id", "name", "0 as position", "concat('Cap ', ordinal) as caption", "concat('Fig ', ordinal) as label", "'p.png' as image_path"
     )
-    cited = sections.filter("ordinal % 3 = 2").selectExpr(
+    cited = sections.filter("deep_dive is null").selectExpr(
         "report_id", "name", "1 as marker", "'S' as source", "concat('page ', page) as page_label", "cast(ordinal as string) as snippet"
     )
     return P.report_markdown(headers, sections, media, cited)
@@ -434,13 +434,11 @@ def chapter_drafts(spark, sf):
     return RP.section_drafts(RP.section_inputs(RP.plan_outline(scoped)), None)
 
 
-FIRST_24 = "firsts as (select *, row_number() over (partition by paper_id order by ordinal)::int as rank from passages qualify rank <= 24)"
+RANKED = "firsts as (select *, ordinal + 1 as rank from passages)"
 
 
-def _first_24(spark, sf):
-    from ..operators.skew import top_per_key
-
-    return top_per_key(V.passages(spark, sf), ["paper_id"], [F.col("ordinal")], 24, "rank")
+def _ranked(spark, sf):
+    return V.passages(spark, sf).withColumn("rank", F.col("ordinal") + 1)
 
 
 SENTENCES = f"""
@@ -448,9 +446,9 @@ sents as (select paper_id, rank, chunk_id, page, unnest({X.sentences('text')}) a
 cands as (select * from (select *, {X.shorten('raw', 240, 0.4)} as sentence from sents) where len(sentence) >= 40 and not {X.is_caption('sentence')} and not {X.is_boilerplate('sentence')})"""
 
 
-@register("report_sentence_candidates", with_views("passages") + "," + FIRST_24 + "," + SENTENCES + " select paper_id, rank, sent_no::int as sent_no, sentence from cands")
+@register("report_sentence_candidates", with_views("passages") + "," + RANKED + "," + SENTENCES + " select paper_id, rank, sent_no::int as sent_no, sentence from cands")
 def sentence_candidates(spark, sf):
-    return T.sentence_candidates(_first_24(spark, sf), ["paper_id"]).select("paper_id", "rank", "sent_no", "sentence")
+    return T.sentence_candidates(_ranked(spark, sf), ["paper_id"]).select("paper_id", "rank", "sent_no", "sentence")
 
 
 def _score_sql(x: str, keywords: list[str], weight: int = 2) -> str:
@@ -459,13 +457,13 @@ def _score_sql(x: str, keywords: list[str], weight: int = 2) -> str:
 
 @register(
     "report_sentence_scores",
-    with_views("passages") + "," + FIRST_24 + "," + SENTENCES + f""",
+    with_views("passages") + "," + RANKED + "," + SENTENCES + f""",
   low as (select *, lower(sentence) as l from cands)
   select paper_id, rank, sent_no::int as sent_no, {_score_sql('l', K.GLANCE_KEYWORDS['Approach'])}::int as approach,
     case when {_score_sql('l', K.GLANCE_KEYWORDS['Headline result'])} > 0 and regexp_matches(sentence, '\\d') then {_score_sql('l', K.GLANCE_KEYWORDS['Headline result'])} + 3 else {_score_sql('l', K.GLANCE_KEYWORDS['Headline result'])} end::int as headline from low""",
 )
 def sentence_scores(spark, sf):
-    rows = T.sentence_candidates(_first_24(spark, sf), ["paper_id"])
+    rows = T.sentence_candidates(_ranked(spark, sf), ["paper_id"])
     return rows.select(
         "paper_id", "rank", "sent_no", T.sentence_score(F.col("low"), K.GLANCE_KEYWORDS["Approach"]).alias("approach"),
         T.sentence_score(F.col("low"), K.GLANCE_KEYWORDS["Headline result"], True).alias("headline"),
@@ -474,13 +472,13 @@ def sentence_scores(spark, sf):
 
 @register("report_at_a_glance")
 def at_a_glance(spark, sf):
-    inputs = _first_24(spark, sf).withColumn("marker", F.col("rank"))
+    inputs = _ranked(spark, sf).withColumn("marker", F.col("rank"))
     return RP.glance_draft(RP.glance_candidates(inputs, None))
 
 
 @register(
     "report_takeaways",
-    with_views("passages") + "," + FIRST_24 + "," + SENTENCES + f""",
+    with_views("passages") + "," + RANKED + "," + SENTENCES + f""",
   k as (select *, not regexp_matches(sentence, '\\d') as plain from cands),
   u as (select * from k qualify row_number() over (partition by paper_id, left(lower(sentence), 80) order by plain, rank, sent_no) = 1)
   select paper_id, row_number() over (partition by paper_id order by plain, rank, sent_no)::int as n,
@@ -488,12 +486,12 @@ def at_a_glance(spark, sf):
   from u qualify n <= 6""",
 )
 def takeaways(spark, sf):
-    return RP.takeaway_lines(_first_24(spark, sf).withColumn("marker", F.col("rank")), 6)
+    return RP.takeaway_lines(_ranked(spark, sf).withColumn("marker", F.col("rank")), 6)
 
 
 @register(
     "report_limitations",
-    with_views("passages") + "," + FIRST_24 + "," + SENTENCES + f""",
+    with_views("passages") + "," + RANKED + "," + SENTENCES + f""",
   st as (select *, row_number() over (partition by paper_id order by rank, sent_no) as n from (select * from cands where {_score_sql('lower(sentence)', K.LIMITATION_MARKERS)} > 0
      qualify row_number() over (partition by paper_id, left(lower(sentence), 80) order by rank, sent_no) = 1) qualify n <= 6),
   sc as (select *, row_number() over (partition by paper_id order by rank, sent_no) as n from cands where {_score_sql('lower(sentence)', K.SCOPE_MARKERS)} > 0 and paper_id not in (select paper_id from st) qualify n <= 5)
@@ -502,12 +500,12 @@ def takeaways(spark, sf):
   union all select distinct paper_id, 0, {X.q(K.NO_LIMITATIONS_ONLY)} from firsts where paper_id not in (select paper_id from st) and paper_id not in (select paper_id from sc)""",
 )
 def limitations(spark, sf):
-    return RP.limitation_lines(_first_24(spark, sf).withColumn("marker", F.col("rank")), 6)
+    return RP.limitation_lines(_ranked(spark, sf).withColumn("marker", F.col("rank")), 6)
 
 
 @register("report_concepts")
 def concepts(spark, sf):
-    return RP.concept_lines(_first_24(spark, sf).withColumn("marker", F.col("rank")), 8)
+    return RP.concept_lines(_ranked(spark, sf).withColumn("marker", F.col("rank")), 8)
 
 
 def _usable_term(x: str) -> str:

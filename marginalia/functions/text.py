@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import constants as K
-
 BLANK = "\\s+"
 WHITESPACE = " \t\n\r\x0b\x0c"
 
@@ -162,10 +160,6 @@ def chunk_id(paper_id: Column, ordinal: Column) -> Column:
     return F.concat(paper_id.cast("string"), F.lit("::c"), padded)
 
 
-def any_of(values: list[str]) -> str:
-    return "(?:" + "|".join(values) + ")"
-
-
 def keyword_score(text: Column, keywords: list[str], phrase_weight: int = 1) -> Column:
     """Occurrences of each keyword in ``text`` (already lower case), summed."""
     total = F.lit(0)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -127,8 +126,3 @@ def started_at(raw: Column, finished_at: Column) -> Column:
     """G-11: lenient start time, never after the finish."""
     parsed = F.try_to_timestamp(blank_safe(raw))
     return F.least(F.coalesce(parsed, finished_at), finished_at)
-
-
-def ordered_questions(questions: DataFrame) -> DataFrame:
-    window = W.partitionBy("quiz_id").orderBy("question_no")
-    return questions.withColumn("position", F.row_number().over(window) - 1)
