@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, sharding, url_filter
+from . import chat, exact_dedup, minhash, packing, sharding, token_counts, url_filter
+from .common import new_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -132,3 +133,35 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     tracked = F.coalesce(F.col("url").contains("utm_source="), F.lit(False))
     return url_filter.judge(pages, RULES, tracked).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length",
+    )
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over whole tables: inserts with an estimate from the bytes, revised counts from the tokenizer,
+    and deletes of the documents labelled toxic; the second batch is delivered twice."""
+    docs = table(spark, sf_dir, "documents")
+    keys = ["doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("version"), F.lit(0).cast("long").alias("seq")]
+    estimate = F.floor(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("tokens")
+    counted = token_counts.count_tokens(docs.select("doc_id", "source", "lang", "text"))
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    gone = [F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), *keys[3:]]
+    store = token_counts.RollupStore(spark, new_folder(spark, "token-rollup"))
+    store.commit("1-load", docs.select(F.lit("insert").alias("op"), *keys, estimate))
+    revised = counted.select(F.lit("revise").alias("op"), *keys, "tokens")
+    store.commit("2-recount", revised)
+    store.commit("2-recount", revised)
+    store.commit("3-takedown", toxic.select(F.lit("delete").alias("op"), "doc_id", *gone, F.lit(0).cast("long").alias("tokens")))
+    return store.totals()
+
+
+@query("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
