@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, minhash, packing, sharding, token_counts, url_filter
+from . import chat, decontaminate, exact_dedup, minhash, packing, sharding, token_counts, toxicity, url_filter, warc
 from .common import new_folder
 
 QUERIES: dict = {}
@@ -165,3 +165,51 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_minhash_near_dedup")
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), held_out())
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@query(
+    "op7_warc_index",
+    r"""
+with hashed as (
+    select page_id, url, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), named as (
+    select *, translate(
+        lpad(to_base(('0x' || hex[1:5])::bigint, 32), 4, '0') || lpad(to_base(('0x' || hex[6:10])::bigint, 32), 4, '0')
+        || lpad(to_base(('0x' || hex[11:15])::bigint, 32), 4, '0') || lpad(to_base(('0x' || hex[16:20])::bigint, 32), 4, '0')
+        || lpad(to_base(('0x' || hex[21:25])::bigint, 32), 4, '0') || lpad(to_base(('0x' || hex[26:30])::bigint, 32), 4, '0')
+        || lpad(to_base(('0x' || hex[31:35])::bigint, 32), 4, '0') || lpad(to_base(('0x' || hex[36:40])::bigint, 32), 4, '0'),
+        '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest
+    from hashed
+), grouped as (
+    select *, min(page_id) over (partition by payload_digest) as first_id from named
+)
+select page_id, payload_bytes, payload_digest,
+    case when page_id is not distinct from first_id then 'response' else 'revisit' end as record_type,
+    case when page_id is distinct from first_id then first_id end as refers_to
+from grouped
+""",
+)
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = new_folder(spark, "warc")
+    clock = F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce("page_id", F.lit(0)))  # the table has no capture time
+    warc.write(pages, folder, clock)
+    histories = warc.merge(warc.read(spark, folder))
+    return histories.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
