@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,8 +192,6 @@ def clean(
 
 
 def _contains(texts: list[str], error_rate: float):
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def contains(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         match = Matcher([(i, normal(t)) for i, t in enumerate(texts)], error_rate)
