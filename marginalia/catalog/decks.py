@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -20,8 +21,6 @@ from .reports import SECTIONS, _sections
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
 
-CAP = 40
-
 
 def _ranked(spark, sf):
     return V.passages(spark, sf).withColumn("rank", F.col("ordinal"))
@@ -40,7 +39,7 @@ def _stems(family: str, seed: str, wide: bool, **params: str) -> str:
 def _first_cap(source: str, key: str) -> str:
     return (
         f"u as (select * from {source} qualify row_number() over (partition by paper_id, {key} order by rank, sent_no) = 1),"
-        f" cards as (select *, row_number() over (partition by paper_id order by rank, sent_no)::int as seq from u qualify seq <= {CAP})"
+        f" cards as (select *, row_number() over (partition by paper_id order by rank, sent_no)::int as seq from u)"
     )
 
 
@@ -54,7 +53,7 @@ def _first_cap(source: str, key: str) -> str:
   select paper_id, seq, chunk_id, term, body as back, {_stems('term', 'term', False, term='term')} as front from cards""",
 )
 def definitions(spark, sf):
-    return O.definition_cards(_ranked(spark, sf), ["paper_id"], CAP).select("paper_id", "seq", "chunk_id", "term", "back", "front")
+    return O.definition_cards(_ranked(spark, sf), ["paper_id"]).select("paper_id", "seq", "chunk_id", "term", "back", "front")
 
 
 @register(
@@ -67,7 +66,7 @@ def definitions(spark, sf):
   select paper_id, seq, chunk_id, blanked, clean as back, {_stems('number', 'blanked', True, blanked='blanked')} as wide_front from cards""",
 )
 def cloze(spark, sf):
-    return O.cloze_cards(_ranked(spark, sf), ["paper_id"], CAP).select("paper_id", "seq", "chunk_id", "blanked", "back", "wide_front")
+    return O.cloze_cards(_ranked(spark, sf), ["paper_id"]).select("paper_id", "seq", "chunk_id", "blanked", "back", "wide_front")
 
 
 BOLD = r"\*\*([^*]{2,60})\*\*"
@@ -94,7 +93,7 @@ def _recall_front(x: str, label: str) -> str:
   select paper_id, seq, chunk_id, clean as back, {_recall_front('clean', 'passage')} as front from cards""",
 )
 def recall(spark, sf):
-    return O.recall_cards(_ranked(spark, sf), ["paper_id"], CAP).select("paper_id", "seq", "chunk_id", "back", "front")
+    return O.recall_cards(_ranked(spark, sf), ["paper_id"]).select("paper_id", "seq", "chunk_id", "back", "front")
 
 
 # sections of one line each, with three citations per section
@@ -161,7 +160,7 @@ ABSTRACT_SENTS = X.sentences("regexp_replace(text, '\\s+', ' ', 'g')")
   select paper_id, seq, back, 'From the paper''s abstract.' as hint, {_recall_front('back', 'statement')} as front from k""",
 )
 def abstract(spark, sf):
-    papers = V.spread(V.table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("paper_id"), F.lit("").alias("title"), F.col("text").alias("abstract"))
+    papers = V.table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.lit("").alias("title"), F.col("text").alias("abstract"))
     return D.abstract_cards(papers).drop("wide_front")
 
 
@@ -253,17 +252,16 @@ def _sources(spark, sf):
 
 
 def _paper_sections(bodies):
-    """The longest body of each section name, so that a paper has one section per name."""
-    from ..operators.skew import first_per_key
-
-    return first_per_key(bodies, ["paper_id", "name"], [F.desc(F.length("body")), F.col("body")])
+    """One section per name of a paper: the bodies of its lines, in order."""
+    lines = bodies.groupBy("paper_id", "name").agg(F.array_sort(F.collect_list("body")).alias("lines"))
+    return lines.select("paper_id", "name", F.array_join("lines", "\n").alias("body"))
 
 
 def _paper_citations(spark, sf):
+    """All citations of a section, numbered anew by page and chunk."""
     cited = _cited(spark, sf).withColumn("paper_id", F.floor(F.col("paper_id") / 100000).cast("bigint"))
-    from ..operators.skew import first_per_key
-
-    return first_per_key(cited, ["paper_id", "name", "marker"], [F.col("page"), F.col("chunk_id")])
+    number = F.row_number().over(W.partitionBy("paper_id", "name").orderBy("page", "chunk_id"))
+    return cited.withColumn("marker", number).withColumn("position", number)
 
 
 @register(
@@ -288,7 +286,7 @@ def sources(spark, sf):
 
 
 # claims: one source per passage, numbered by line
-CLAIMS = "claims as (select paper_id, ordinal + 1 as no, concat('s', ordinal + 1) as source_id, section_label as section, text as body, (row_number() over (partition by paper_id order by ordinal) - 1)::int as position from passages qualify position < 60)"
+CLAIMS = "claims as (select paper_id, ordinal + 1 as no, concat('s', ordinal + 1) as source_id, section_label as section, text as body, (row_number() over (partition by paper_id order by ordinal) - 1)::int as position from passages)"
 
 
 def _claims(spark, sf):
@@ -327,20 +325,14 @@ def numeric_questions(spark, sf):
 @register("quiz_distractors")
 def distractors(spark, sf):
     rows = _claims(spark, sf).withColumn("term", F.concat(F.lit("Term "), "no"))
-    from ..operators.skew import top_per_key
-
-    capped = top_per_key(rows, ["paper_id"], [F.col("no")], K.MAX_DEFINITIONS, "_n").drop("_n")
-    out = Z.with_distractors(capped)
-    return out.select("paper_id", "source_id", F.array_join(F.transform(F.slice("others", 1, 3), lambda d: d["term"]), "|").alias("distractors"))
+    out = Z.with_distractors(rows)
+    return out.select("paper_id", "source_id", F.array_join(F.transform("others", lambda d: d["term"]), "|").alias("distractors"))
 
 
 @register("quiz_definition_questions")
 def definition_questions(spark, sf):
     rows = _claims(spark, sf).withColumn("term", F.concat(F.lit("Term "), "no"))
-    from ..operators.skew import top_per_key
-
-    capped = top_per_key(rows, ["paper_id"], [F.col("no")], K.MAX_DEFINITIONS, "_n").drop("_n")
-    out = Z.definition_questions(Z.with_distractors(capped))
+    out = Z.definition_questions(Z.with_distractors(rows))
     return out.select("paper_id", "source_id", "kind", "difficulty", "prompt", "correct_option_id", "correct_answer_text", "explanation")
 
 

@@ -176,16 +176,12 @@ QUESTIONS = "asked as (select concat(conv_id, '-', turn) as question_id, conv_id
     "retrieve_sparse_top_k",
     with_views("passages") + "," + QUESTIONS + "," + VECTOR_SQL.format(id="chunk_id", source="passages") + ","
     + VECTOR_SQL.format(id="question_id", source="asked").replace("counted", "q_counted").replace("components as", "q_components as") + """,
-  dots as (select a.question_id, p.chunk_id, round(sum(q.weight * c.weight), 9) as score
-     from asked a join q_components q using (question_id) join passages p on p.paper_id = a.paper_id join components c on c.chunk_id = p.chunk_id and c.bucket = q.bucket group by 1, 2)
+  dots as (select a.question_id, p.chunk_id, round(coalesce(sum(q.weight * c.weight), 0), 9) as score
+     from asked a join passages p on p.paper_id = a.paper_id left join components c on c.chunk_id = p.chunk_id left join q_components q on q.question_id = a.question_id and q.bucket = c.bucket group by 1, 2)
   select *, row_number() over (partition by question_id order by score desc, chunk_id)::int as rank from dots qualify rank <= 6""",
 )
 def sparse_top_k(spark, sf):
-    asked = R.with_hash_vector(_questions(spark, sf))
-    pairs = F.explode(F.arrays_zip("buckets", "weights")).alias("z")
-    q = asked.select("question_id", "paper_id", pairs).selectExpr("question_id", "paper_id", "z.buckets bucket", "z.weights weight")
-    c = _embedded(spark, sf).select("chunk_id", "paper_id", pairs).selectExpr("chunk_id", "paper_id", "z.buckets bucket", "z.weights weight")
-    return R.sparse_nearest(q, c, 6).select("question_id", "chunk_id", "score", "rank")
+    return R.sparse_nearest(R.with_hash_vector(_questions(spark, sf)), _embedded(spark, sf), 6).select("question_id", "chunk_id", "score", "rank")
 
 
 @register(

@@ -223,7 +223,7 @@ def quiz_list(spark, sf):
     "quiz_attempt_history",
     with_views("attempts") + """
   select attempt_id, quiz_id, mode, correct, total, round(score, 9) as score, len(missed)::int as missed_count, finished_at,
-    round(max(score) over (partition by quiz_id), 9) as quiz_best_score from attempts""",
+    round(coalesce(max(score) filter (mode = 'full') over (partition by quiz_id), max(score) over (partition by quiz_id)), 9) as quiz_best_score from attempts""",
 )
 def attempt_history(spark, sf):
     out = Z.attempt_history(V.attempts(spark, sf))

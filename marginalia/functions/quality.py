@@ -70,8 +70,15 @@ def has_email(text: Column) -> Column:
 
 
 def boilerplate_rule(c: Column) -> Column:
-    """Q-04: name of the first furniture rule that fires, null for content."""
-    text = strip(c)
+    """Q-04: name of the first furniture rule that fires, null for content.
+
+    The stripped text is bound once: inlined, it would be copied into every rule
+    and the generated method would pass its size limit.
+    """
+    return let(strip(c), _first_rule)
+
+
+def _first_rule(text: Column) -> Column:
     size = F.length(text)
     short = size < K.SHORT_CHUNK_CHARS
     lives = F.regexp_count(text, F.lit(K.BIOGRAPHY))
@@ -149,13 +156,13 @@ def is_usable(c: Column) -> Column:
 
 
 def usable_sentence(c: Column) -> Column:
-    """Q-14."""
-    text = strip(c)
-    return (
-        (F.length(text) >= 30)
+    """Q-14. Bound once: inlined, the stripped text would be copied into dozens of patterns."""
+    return let(
+        strip(c),
+        lambda text: (F.length(text) >= 30)
         & is_usable(text)
         & ~is_boilerplate(text)
-        & (prose_score(text) >= K.MIN_PROSE_SCORE)
+        & (prose_score(text) >= K.MIN_PROSE_SCORE),
     )
 
 

@@ -7,6 +7,7 @@ a paper and a query) and ``rank``, the order inside the scope.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -142,14 +143,13 @@ def drop_noncontent(chunks: DataFrame, scope: list[str]) -> DataFrame:
     return content.unionByName(saved).drop("_off")
 
 
-def diversify(chunks: DataFrame, query: list[str], limit: int, order: list[str], overfetch: int = 4) -> DataFrame:
+def diversify(chunks: DataFrame, query: list[str], limit: int, order: list[str]) -> DataFrame:
     """Q-11: skip passages too similar to one already picked, refill from the skipped.
 
-    At most ``overfetch * limit`` candidates per query enter the fold.
+    All candidates of a query, the passages of one document or one top-k result,
+    enter the fold; it stops comparing once ``limit`` passages are picked.
     """
-    from .skew import top_per_key
-
-    candidates = top_per_key(chunks, query, [F.col(c) for c in order], overfetch * limit, "place")
+    candidates = chunks.withColumn("place", F.row_number().over(W.partitionBy(*query).orderBy(*order)))
     rows = candidates.select(*query, F.struct("place", "chunk_id", content_words(F.col("text")).alias("words"), "text").alias("c"))
     listed = rows.groupBy(*query).agg(F.array_sort(F.collect_list("c")).alias("cs"))
 

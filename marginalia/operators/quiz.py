@@ -87,8 +87,9 @@ def quiz_list(quizzes: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def attempt_history(attempts: DataFrame) -> DataFrame:
-    """A-09: attempt summaries with the best score of their quiz alongside."""
-    best = attempts.groupBy("quiz_id").agg(F.max("score").alias("quiz_best_score"))
+    """A-09: attempt summaries with the best score of their quiz (full attempts first) alongside."""
+    full = F.max(F.when(F.col("mode") == "full", F.col("score")))
+    best = attempts.groupBy("quiz_id").agg(F.coalesce(full, F.max("score")).alias("quiz_best_score"))
     shown = attempts.withColumn("missed_count", F.size("missed"))
     return shown.join(best, "quiz_id")
 

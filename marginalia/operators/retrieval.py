@@ -145,20 +145,27 @@ def sweep(embedded: DataFrame, queries: list[str], k: int) -> DataFrame:
     return top_per_key(score_fixed_queries(embedded, queries), ["paper_id", "query_no"], order, k, "rank")
 
 
-def sparse_nearest(questions: DataFrame, components: DataFrame, k: int) -> DataFrame:
-    """V-04: questions of a paper against its chunks through the bucket they share.
+def sparse_nearest(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """V-04: the ``k`` best chunks of each question's paper, whatever their score.
 
-    ``questions`` and ``components`` hold (id, paper_id, bucket, weight) rows, so
-    a chunk only meets the questions it shares a word with.
+    ``questions`` and ``chunks`` hold (id, paper_id, buckets, weights). A chunk
+    meets only the questions it shares a bucket with; a question with fewer than
+    ``k`` such chunks is filled up with score 0 from its paper's first chunks, of
+    which ``k`` suffice.
     """
-    asked = questions.select("question_id", "paper_id", "bucket", F.col("weight").alias("q"))
-    held = components.select("chunk_id", "paper_id", "bucket", F.col("weight").alias("c"))
-    scored = (
-        asked.join(held, ["paper_id", "bucket"])
-        .groupBy("question_id", "paper_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("q") * F.col("c")), SCORE_DIGITS).alias("score"))
-    )
-    return top_per_key(scored, ["question_id"], [F.desc("score"), F.col("chunk_id")], k, "rank")
+
+    def components(rows: DataFrame, key: str, weight: str) -> DataFrame:
+        pairs = F.explode(F.arrays_zip("buckets", "weights")).alias("z")
+        return rows.select(key, "paper_id", pairs).select(key, "paper_id", F.col("z.buckets").alias("bucket"), F.col("z.weights").alias(weight))
+
+    met = components(questions, "question_id", "q").join(components(chunks, "chunk_id", "c"), ["paper_id", "bucket"])
+    scored = met.groupBy("question_id", "paper_id", "chunk_id").agg(F.round(F.sum(F.col("q") * F.col("c")), SCORE_DIGITS).alias("score"))
+    order = [F.desc("score"), F.col("chunk_id")]
+    best = top_per_key(scored, ["question_id"], order, k, "rank").drop("rank")
+    first = top_per_key(chunks.select("paper_id", "chunk_id"), ["paper_id"], [F.col("chunk_id")], k, "_n").drop("_n")
+    blank = questions.select("question_id", "paper_id").join(first, "paper_id").withColumn("score", F.lit(0.0))
+    either = best.unionByName(blank).groupBy("question_id", "paper_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top_per_key(either, ["question_id"], order, k, "rank")
 
 
 # --- dense top-k ----------------------------------------------------------------

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000  # rows in a hot-key table, so the broadcast size is known
-HOT_MIN_ROWS = 200_000  # a key below this is never worth splitting
+HOT_KEYS = 1000  # rows in a hot-key table; by pigeonhole any other key owns less than a thousandth of all rows
 SALTS = 64
 BUCKET_ROWS = 4096
 
@@ -42,9 +41,9 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_KEYS, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """The at most ``limit`` keys with the most rows (and at least ``min_rows``)."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
+def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_KEYS) -> DataFrame:
+    """The at most ``limit`` keys with the most rows."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return counted.orderBy(F.desc("_n"), *keys).limit(limit).select(*keys, F.lit(True).alias("_hot"))
 
 

@@ -29,16 +29,11 @@ def answer_context(questions: DataFrame, chunks: DataFrame, top_k: int = TOP_K)
 
     questions(question_id, paper_id, text), chunks(paper_id, chunk_id, page, text).
     """
-    pairs = F.explode(F.arrays_zip("buckets", "weights")).alias("z")
-
-    def components(rows: DataFrame, key: str) -> DataFrame:
-        return R.with_hash_vector(rows).select(key, "paper_id", pairs).selectExpr(key, "paper_id", "z.buckets bucket", "z.weights weight")
-
-    hits = R.sparse_nearest(components(questions, "question_id"), components(chunks, "chunk_id"), top_k * OVERFETCH)
+    hits = R.sparse_nearest(R.with_hash_vector(questions), R.with_hash_vector(chunks), top_k * OVERFETCH)
     found = hits.join(chunks, ["paper_id", "chunk_id"]).select("question_id", "chunk_id", "page", "text", "rank")
     cleaned = N.narrative_chunks(found, ["question_id"], allow_fallback=False)
     raw = found.join(cleaned.select("question_id").distinct(), "question_id", "left_anti").withColumn("low_prose", F.lit(False))
-    return N.diversify(cleaned.unionByName(raw), ["question_id"], top_k, ["low_prose", "rank"], OVERFETCH)
+    return N.diversify(cleaned.unionByName(raw), ["question_id"], top_k, ["low_prose", "rank"])
 
 
 def draft_answers(questions: DataFrame, context: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def test_diversify(spark, sf):
     stop = set(K.PROSE_STOPWORDS)
     for paper, rows in papers.items():
         picked, skipped = [], []
-        for _, chunk, text in sorted(rows)[:24]:
+        for _, chunk, text in sorted(rows):
             bag = {t for t in re.findall(r"[A-Za-z0-9][A-Za-z0-9'’\-]*", text.lower()) if len(t) > 2 and t not in stop}
             close = any(bag and other and len(bag & other) / len(bag | other) > 0.6 for _, other in picked)
             (skipped if close or len(picked) >= 6 else picked).append((chunk, bag))
@@ -167,20 +167,28 @@ def test_asked_questions_are_avoided(spark, sf):
     assert len(repeated) < len(first) / 2
 
 
-def test_choose_respects_caps():
-    import pandas as pd
+DRAFTS = "paper_id long, kind string, difficulty string, family string, source_id string, prompt string, prompt_key string, anchor string, seq int"
 
-    rows = pd.DataFrame(
-        [
-            {"draft_id": f"d{i}", "difficulty": "recall", "kind": "true_false", "family": "numeric" if i % 2 else "definition",
-             "source_id": f"s{i // 2}", "prompt_key": f"p{i}", "anchor_key": "same" if i < 6 else f"a{i}", "avoid": i == 7, "draft_no": i}
-            for i in range(12)
-        ]
-    )
-    ids = quiz._choose(rows, 4)
-    assert len(ids) == 4 and len(set(ids)) == 4
-    assert "d7" not in ids
-    assert sum(int(i[1:]) < 6 for i in ids) <= 2
+
+def _picked(spark, drafts, asked, count):
+    valid = spark.createDataFrame([(1, "true_false", "recall", *d) for d in drafts], DRAFTS)
+    before = spark.createDataFrame([(1, p) for p in asked], "paper_id long, prompt string")
+    chosen = quiz.select_questions(valid, before, count).join(valid.withColumn("draft_id", quiz.draft_id()), ["paper_id", "draft_id"])
+    return [r.prompt for r in chosen.orderBy("index").collect()]
+
+
+def test_selection_respects_caps_and_relaxes_them_in_order(spark):
+    drafts = [
+        ("numeric" if i % 2 else "definition", f"s{i // 2}", f"p{i}", f"p{i}", "same" if i < 6 else f"a{i}", i)
+        for i in range(12)
+    ]
+    # one per source, two per anchor, two per family of four; p8 was asked before
+    assert _picked(spark, drafts, ["p8"], 4) == ["p0", "p2", "p7", "p9"]
+    # three per family of five; then the source rule falls, at last the ban on p8
+    assert _picked(spark, drafts, ["p8"], 5) == ["p0", "p2", "p6", "p9", "p11"]
+    assert _picked(spark, drafts, ["p8"], 6)[-1] == "p10" and _picked(spark, drafts, ["p8"], 7)[-1] == "p7"
+    everything = _picked(spark, drafts, ["p8"], 30)
+    assert everything[-1] == "p8" and len(everything) == 8 and sum(p in ("p0", "p1", "p2", "p3", "p4", "p5") for p in everything) == 2
 
 
 def test_interleave_takes_turns(spark):

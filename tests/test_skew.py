@@ -36,12 +36,10 @@ def test_global_rank(spark):
     assert [(r["key"], -r["position"]) for r in got] == sorted((r["key"], -r["position"]) for r in got)
 
 
-def test_hot_join(spark, monkeypatch):
+def test_hot_join(spark):
     rows = _rows(spark)
     dim = rows.groupBy("key").agg(F.max("position").alias("top"))
-    hot = skew.hot_keys(rows, ["key"], min_rows=50)
-    assert [r["key"] for r in hot.collect()] == ["hot"]
-    monkeypatch.setattr(skew.hot_keys, "__defaults__", (skew.HOT_KEYS, 50))
+    assert [r["key"] for r in skew.hot_keys(rows, ["key"], 1).collect()] == ["hot"]
     got = skew.hot_join(rows, dim, ["key"], F.col("position"))
     assert got.count() == 400
     assert got.filter("top is null").count() == 0

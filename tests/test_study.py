@@ -46,3 +46,10 @@ def test_started_at(spark):
     rows = spark.createDataFrame([("2024-05-01T11:00:00+00:00", end), ("junk", end), ("2024-05-01T13:00:00Z", end), (None, end)], "raw string, f timestamp")
     got = [r[0] for r in rows.select(Z.started_at(F.col("raw"), F.col("f"))).collect()]
     assert got == [datetime(2024, 5, 1, 11), end, end, end]
+
+
+def test_best_score_prefers_full_attempts(spark):
+    rows = [("a1", 1, "full", 0.9), ("a2", 1, "retry", 1.0), ("a3", 2, "retry", 0.4)]
+    attempts = spark.createDataFrame([(*r, ["q"]) for r in rows], "attempt_id string, quiz_id long, mode string, score double, missed array<string>")
+    got = {r.attempt_id: r.quiz_best_score for r in Z.attempt_history(attempts).collect()}
+    assert got == {"a1": 0.9, "a2": 0.9, "a3": 0.4}

@@ -166,3 +166,11 @@ def test_headings(one):
 
     got = one(lambda c: looks_like_heading(c, F.lit(False)), "2.1 Model architecture", "References", "We go on.", "x" * 120)
     assert got == [True, True, False, False]
+
+
+def test_card_plans_compile(spark, sf, capfd):
+    from marginalia.catalog import all_queries
+
+    for name in ("cards_definitions", "cards_cloze", "cards_recall"):
+        all_queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
+    assert "grows beyond 64 KB" not in "".join(capfd.readouterr())
