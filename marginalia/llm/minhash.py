@@ -19,7 +19,8 @@ probability 5e-6. Hot buckets, classes and components are spread over salts.
 
 Defined cases: null and empty texts have no shingles and are linked with
 nothing; a null id takes part and never becomes a component id unless its
-component has no other; repeated rows share a class; an empty table gives no
+component has no other; rows that repeat id and text are one document; where an
+id names two texts of a component the one with the smaller digest stays; an empty table gives no
 rows; further columns never clash with internal names.
 """
 
@@ -136,7 +137,9 @@ def _rare_pairs(classes: DataFrame, texts: DataFrame, percent: int, width: int)
     Shingles are ordered: first those held by one root only, then by the number
     of classes that hold them. Two linked sets share a shingle among the first
     n - ceil(n * percent / 100) + 1 of each; only shingles held by several roots
-    can give a pair, so a class whose own part fills its prefix gives none.
+    can give a pair, so a class whose own part fills its prefix gives none. A
+    pair is formed at its first common shingle: what follows it in either set
+    bounds the intersection and must reach the size that a link needs.
     """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +159,16 @@ def _rare_pairs(classes: DataFrame, texts: DataFrame, percent: int, width: int)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = F.array_sort(F.collect_list(F.struct("held", "shingle")))
     own = shared.groupBy("set_key", "n", "root").agg(ranked.alias("ranked"))
-    left = (prefix - (F.col("n") - F.size("ranked"))).cast("int")
-    first = F.slice("ranked", F.lit(1), F.greatest(left, F.lit(0)))
-    rare = stored(own.select("set_key", "n", "root", F.explode(first).alias("s")).select("set_key", "n", "root", "s.shingle"), "prefixes")
-    one = rare.select("shingle", F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = rare.select("shingle", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    met = one.join(two, "shingle").filter((F.col("ra") != F.col("rb")) & (F.col("a") > F.col("b")) & fits)
-    return met.select("a", "b").distinct()
+    alone = F.col("n") - F.size("ranked")
+    first = F.slice("ranked", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
+    rare = own.select("set_key", "n", "root", alone.alias("alone"), F.posexplode(first).alias("at", "s"))
+    rare = stored(rare.select("set_key", "n", "root", "s.shingle", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")), "prefixes")
+    one, two = (rare.select("shingle", *[F.col(c).alias(c + x) for c in ("set_key", "n", "root", "rest")]) for x in ("_a", "_b"))
+    total = F.col("n_a") + F.col("n_b")
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    reach = (100 + percent) * F.least("rest_a", "rest_b") >= percent * total
+    met = one.join(two, "shingle").filter((F.col("root_a") != F.col("root_b")) & (F.col("set_key_a") > F.col("set_key_b")) & fits & reach)
+    return met.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -197,15 +202,15 @@ def components(edges: DataFrame) -> DataFrame:
     return current.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(
+def _judged(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH,
-    bands: int = BANDS, rows: int = ROWS, carry: tuple = (),
+    bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """id, n_shingles, component_id, kept of every row."""
+    """_id, digest, n, component_id, kept of every row."""
     signed = stored(signatures(docs, id_col, text_col, bands, rows, width), "signatures")
     classes = stored(
         signed.filter("n > 0").groupBy("set_key").agg(
-            F.min("_id").alias("least"), F.min(F.struct("_id", "digest")).alias("speaker"), F.count(F.lit(1)).alias("copies"),
+            F.min(F.struct(F.col("_id").isNull().alias("unknown"), "_id", "digest")).alias("speaker"), F.count(F.lit(1)).alias("copies"),
             F.max("n").alias("n"), F.first("bands").alias("bands"),
         ),
         "classes",
@@ -234,19 +239,39 @@ def near_duplicates(
     mixed = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
     mixed = mixed.filter("lo <> hi").select("band", "members")
     apart = join_by_key(members, mixed, "band", "members", F.col("set_key")).select("set_key", "n", "root").distinct()
-    second = _rare_pairs(stored(apart, "apart"), texts, percent, width).join(first, ["a", "b"], "left_anti")
+    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    second = _rare_pairs(stored(apart, "apart"), texts, percent, width).join(tried, ["a", "b"], "left_anti")
     more = stored(_confirm(stored(second, "cross-pairs"), texts, percent, width), "cross-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
 
-    sized = classes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "least", "copies", label.alias("root"))
-    of_root = sized.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_weight"))
-    of_class = join_by_key(sized, of_root, "root", "_weight", F.col("set_key")).select("set_key", "component_id", "copies")
-    slim = signed.select("_id", "n", "set_key")
-    within = join_by_key(slim.filter("n > 0"), of_class, "set_key", "copies", F.col("_id")).select("_id", "n", "component_id")
-    alone = slim.filter("n = 0").select("_id", "n", F.col("_id").alias("component_id"))
-    return within.unionByName(alone).select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-        F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"),
-    )
+    sized = classes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "speaker", "copies", label.alias("root"))
+    of_root = sized.groupBy("root").agg(F.min("speaker").alias("first"), F.count(F.lit(1)).alias("_weight"))
+    of_class = join_by_key(sized, of_root, "root", "_weight", F.col("set_key")).select("set_key", "first", "copies")
+    slim = signed.select("_id", "digest", "n", "set_key")
+    within = join_by_key(slim.filter("n > 0"), of_class, "set_key", "copies", F.col("_id"))
+    stays = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("digest") == F.col("first.digest"))
+    within = within.select("_id", "digest", "n", F.col("first._id").alias("component_id"), stays.alias("kept"))
+    alone = slim.filter("n = 0").select("_id", "digest", "n", F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
+    return within.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, n_shingles, component_id, kept of every row; options as in ``_judged``."""
+    judged = _judged(docs, id_col, text_col, **options)
+    return judged.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: one of every component, and all rows without shingles.
+
+    Rows are named by id and text digest, so the decision joins back to exactly the row it was made for.
+    """
+    stay = _judged(docs, id_col, text_col, **options).filter("kept").select("_id", "digest").distinct()
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    packed = docs.select(row.alias("_row"), docs[id_col].alias("_own"), hash128(text).alias("_digest"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("digest"))
+    kept = packed.join(stay.hint("shuffle_hash"), same, "left_semi")
+    return kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
