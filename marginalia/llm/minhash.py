@@ -7,8 +7,9 @@ is the minimum over short slices of one array.
 
 1. Texts with equal shingle sets form a class; classes are compared, not copies.
 2. Signatures are cut into bands; classes that share a band are candidates. In
-   every band bucket each class is compared with one centre, which is linear in
-   the bucket; links are confirmed on the full shingle sets.
+   every band bucket each class is compared with one centre, the one that meets
+   most others over all its bands; that is linear in the bucket. Links are
+   confirmed on the full shingle sets.
 3. Linked classes form components. Buckets whose classes ended in different
    components may still hold links that no centre saw. Their classes go through
    an exact prefix filter over shingles, which finds every link between different
@@ -217,14 +218,16 @@ def _judged(
     )
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     banded = classes.select(F.explode("bands").alias("band"), "set_key", "n")
-    buckets = banded.groupBy("band").agg(F.min(F.struct("set_key", "n")).alias("centre"), F.count(F.lit(1)).alias("members"))
-    buckets = stored(buckets.filter("members > 1"), "buckets")
-    met = join_by_key(banded, buckets, "band", "members", F.col("set_key"))
-    near = met.filter((F.col("set_key") != F.col("centre.set_key")) & fits(F.col("n"), F.col("centre.n")))
+    crowd = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "crowded-bands")
+    crowded = stored(join_by_key(banded, crowd, "band", "members", F.col("set_key")), "bucket-members")
+    hubs = crowded.groupBy("set_key").agg(F.sum("members").alias("hub"))  # who meets most others lies nearest to them
+    met = crowded.join(hubs, "set_key").drop("members")
+    buckets = met.groupBy("band").agg(F.max(F.struct("hub", "set_key", "n")).alias("centre"), F.count(F.lit(1)).alias("members"))
+    near = join_by_key(met, buckets, "band", "members", F.col("set_key"))
+    near = near.filter((F.col("set_key") != F.col("centre.set_key")) & fits(F.col("n"), F.col("centre.n")))
     first = stored(near.select(F.col("set_key").alias("a"), F.col("centre.set_key").alias("b")).distinct(), "star-pairs")
 
-    crowded = met.select("set_key").distinct()
-    spoken = classes.join(crowded, "set_key", "left_semi").select("set_key", "speaker")
+    spoken = classes.join(crowded.select("set_key").distinct(), "set_key", "left_semi").select("set_key", "speaker")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     spelled = docs.select(docs[id_col].alias("_id"), hash128(text).alias("_digest"), text.alias("text"))
     same = (F.col("_digest") == F.col("speaker.digest")) & F.col("_id").eqNullSafe(F.col("speaker._id"))
@@ -234,8 +237,8 @@ def _judged(
     links = stored(_confirm(first, texts, percent, width), "star-links")
     roots = components(links)
     label = F.coalesce("root", "set_key")
-    named = classes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "n", "bands", label.alias("root"))
-    members = named.select(F.explode("bands").alias("band"), "set_key", "n", "root")
+    named = crowded.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
+    members = stored(named.select("band", "set_key", "n", label.alias("root")), "bucket-roots")
     mixed = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
     mixed = mixed.filter("lo <> hi").select("band", "members")
     apart = join_by_key(members, mixed, "band", "members", F.col("set_key")).select("set_key", "n", "root").distinct()
