@@ -213,3 +213,10 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(pages, folder, clock)
     histories = warc.merge(warc.read(spark, folder))
     return histories.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run  # its stages use this module
+
+    return run(spark, sf_dir)
