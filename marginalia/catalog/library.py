@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -11,6 +13,7 @@ from ..operators import jobs as J
 from ..operators import layout as L
 from ..operators import library as B
 from ..operators import merge as M
+from ..operators.skew import shared_folder
 from ..sources import readers as R
 from ..sources import views as V
 from ..sources.views import with_views
@@ -68,6 +71,59 @@ def reset_status(spark, sf):
     return M.reset_status(_stored(spark, sf), _changes(spark, sf)).select("paper_id", "status", "error_message")
 
 
+REPORTS_SQL = """reports as (select o_custkey as paper_id, case when o_orderkey % 4 > 0 then (o_orderkey % 4)::bigint end as chapter, max(o_totalprice) as body from orders where o_orderkey % 8 < 4 group by 1, 2),
+  fresh as (select o_custkey as paper_id, case when o_orderkey % 4 > 0 then (o_orderkey % 4)::bigint end as chapter, min(o_totalprice) as body from orders where o_orderkey % 3 = 0 group by 1, 2)"""
+
+
+def _reports(spark, sf, keep: str, pick):
+    rows = V.table(spark, sf, "orders").filter(keep)
+    chapter = F.when(F.col("o_orderkey") % 4 > 0, (F.col("o_orderkey") % 4).cast("bigint"))
+    return rows.groupBy(F.col("o_custkey").alias("paper_id"), chapter.alias("chapter")).agg(pick("o_totalprice").alias("body"))
+
+
+@register(
+    "merge_upsert_reports",
+    f"with {REPORTS_SQL} select coalesce(r.paper_id, f.paper_id) as paper_id, coalesce(r.chapter, f.chapter) as chapter, coalesce(f.body, r.body) as body"
+    " from reports r full join fresh f on r.paper_id = f.paper_id and r.chapter is not distinct from f.chapter",
+)
+def upsert_reports(spark, sf):
+    return M.upsert_reports(_reports(spark, sf, "o_orderkey % 8 < 4", F.max), _reports(spark, sf, "o_orderkey % 3 = 0", F.min))
+
+
+@register(
+    "merge_rerun",
+    f"""with {STORED_SQL}, {CHANGES_SQL}, {REPORTS_SQL}
+  select 'papers' as kept, count(*) as n, sum((c.paper_id is not null)::int)::bigint as queued from stored s left join (select distinct paper_id from changes) c using (paper_id)
+  union all select 'vectors', count(*), 0 from embeddings where label not in (select paper_id from changes)
+  union all select 'reports', count(*), 0 from reports where chapter is null or paper_id not in (select paper_id from changes)""",
+)
+def rerun(spark, sf):
+    touched = _changes(spark, sf).select("paper_id").distinct()
+    papers, vectors, reports = M.rerun(_stored(spark, sf), V.vectors(spark, sf), _reports(spark, sf, "o_orderkey % 8 < 4", F.max), touched)
+    again = papers.join(touched.withColumn("hit", F.lit(True)), "paper_id", "left").select("status", "hit")
+    queued = F.sum((F.coalesce("hit", F.lit(False)) & (F.col("status") == "queued")).cast("bigint"))
+    out = again.agg(F.lit("papers").alias("kept"), F.count(F.lit(1)).alias("n"), queued.alias("queued"))
+    for name, rows in (("vectors", vectors), ("reports", reports)):
+        out = out.unionByName(rows.agg(F.lit(name).alias("kept"), F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("queued")))
+    return out
+
+
+@register(
+    "merge_append_reviews",
+    with_views("reviews", "cards") + """
+  select card_id, count(*) as reviews, max(reviewed_at) as last_at from (
+    select card_id, reviewed_at from reviews union all select card_id, timestamp '2024-02-01 00:00:00' from cards) all_rows group by 1""",
+)
+def append_reviews(spark, sf):
+    path = f"{shared_folder(spark).rstrip('/')}/reviews-{uuid.uuid4().hex}"
+    stored = V.reviews(spark, sf).select("card_id", "rating", "reviewed_at")
+    M.append(stored, path)
+    rated = V.cards(spark, sf).select("card_id", F.lit("good").alias("rating"), F.lit("2024-02-01 00:00:00").cast(stored.schema["reviewed_at"].dataType).alias("reviewed_at"))
+    M.append(rated, path)
+    log = spark.read.schema(stored.schema).parquet(path)
+    return log.groupBy("card_id").agg(F.count(F.lit(1)).alias("reviews"), F.max("reviewed_at").alias("last_at"))
+
+
 @register(
     "merge_set_status",
     f"""with {STORED_SQL}, ch as (select s_suppkey * 10 as paper_id, case s_suppkey % 3 when 0 then 'error' when 1 then 'ready' else 'processing' end as status,

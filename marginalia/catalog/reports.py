@@ -233,13 +233,26 @@ def report_stats(spark, sf):
     with_views("passages") + """,
   b as (select paper_id, section_label as section, 0.55 + 0.05 * least(count(*), 6) + 0.1 * count(*) filter (where modality = 'text') / count(*) - 0.05 * count(*) filter (where modality = 'ocr') / count(*) as base,
     avg(case when modality = 'ocr' then (ordinal % 100) / 100 end) as ocr from passages group by 1, 2)
-  select paper_id, section, round(greatest(0.1, least(case when ocr is null then base else 0.6 * base + 0.4 * ocr end, 0.97)), 2)::double as confidence from b""",
+  select s.paper_id, s.section, case when base is null then 0.2 else round(greatest(0.1, least(case when ocr is null then base else 0.6 * base + 0.4 * ocr end, 0.97)), 2)::double end as confidence
+  from (select doc_id as paper_id, unnest(['Introduction', 'Methods', 'Results', 'Discussion', 'References']) as section from documents) s left join b using (paper_id, section)""",
 )
 def confidence(spark, sf):
+    names = F.array(*[F.lit(n) for n in ("Introduction", "Methods", "Results", "Discussion", "References")])
+    sections = V.table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.explode(names).alias("section"))
     rows = V.passages(spark, sf).withColumnRenamed("section_label", "section").withColumn(
         "ocr_confidence", F.expr("case when modality = 'ocr' then (ordinal % 100) / 100 end")
     )
-    return P.section_confidence(rows, ["paper_id", "section"])
+    return P.section_confidence(sections, rows, ["paper_id", "section"])
+
+
+@register(
+    "report_degraded_tally",
+    with_views("passages") + """
+  select paper_id as report_id, sum((modality = 'ocr')::int)::bigint as degraded_sections, count(*) as sections from passages group by 1""",
+)
+def degraded_tally(spark, sf):
+    rows = V.passages(spark, sf).select(F.col("paper_id").alias("report_id"), (F.col("modality") == "ocr").alias("degraded"))
+    return P.degraded_tally(rows)
 
 
 @register(

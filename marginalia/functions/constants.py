@@ -372,3 +372,6 @@ QUIZ_STEMS = {
 # quiz source caps
 MAX_DEFINITIONS, MAX_CLAIMS, MAX_POOL_CLAIMS, MAX_CLAIMS_PER_CHUNK, MAX_SOURCES = 18, 16, 30, 3, 60
 CLAIM_SECTIONS = ["Key Takeaways", "Key Results", "Methods", "Why It Matters", "Limitations & Open Questions", "Overview", "Background"]
+
+# fixed value: confidence of a section without chunks
+EMPTY_SECTION_CONFIDENCE = 0.2

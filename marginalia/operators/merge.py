@@ -30,6 +30,13 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[s
     return joined.select(*keys, *take)
 
 
+def upsert_reports(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """S-10: one report per paper, and one per paper and chapter; the whole-paper report has no chapter."""
+    own = F.coalesce(F.col("chapter").cast("bigint"), F.lit(-1).cast("bigint"))
+    merged = upsert(base.withColumn("chapter", own), changes.withColumn("chapter", own), ["paper_id", "chapter"])
+    return merged.withColumn("chapter", F.nullif("chapter", F.lit(-1).cast("bigint")))
+
+
 def latest_version(rows: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
     """One row per key from a batch that may repeat keys."""
     return first_per_key(rows, keys, newest_first)
@@ -50,6 +57,13 @@ def without(children: DataFrame, removed: DataFrame, keys: list[str]) -> DataFra
     return children.join(removed.select(*keys).distinct(), keys, "left_anti")
 
 
+def rerun(papers: DataFrame, vectors: DataFrame, reports: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S-25: touched papers are queued again, their vectors and chapter reports go; whole-paper reports stay."""
+    chapters = without(reports.filter(F.col("chapter").isNotNull()), touched, ["paper_id"])
+    kept = reports.filter(F.col("chapter").isNull()).unionByName(chapters)
+    return reset_status(papers, touched), without(vectors, touched, ["paper_id"]), kept
+
+
 def cascade_delete(tables: dict[str, DataFrame], removed: DataFrame, parents: dict[str, tuple[str, str]]) -> dict[str, DataFrame]:
     """S-11: drop removed papers from every table.
 

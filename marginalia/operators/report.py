@@ -236,8 +236,8 @@ def report_stats(sections: DataFrame, media: DataFrame, citations: DataFrame, pa
     )
 
 
-def section_confidence(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """A-15: confidence of a section from the kind and number of its chunks."""
+def section_confidence(sections: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """A-15: confidence of every section from the kind and number of its chunks, 0.2 without any."""
     n = F.count(F.lit(1))
     text_share = F.count_if(F.col("modality") == "text") / n
     ocr_share = F.count_if(F.col("modality") == "ocr") / n
@@ -245,7 +245,14 @@ def section_confidence(chunks: DataFrame, keys: list[str]) -> DataFrame:
     stats = chunks.groupBy(*keys).agg(base.alias("base"), F.avg("ocr_confidence").alias("ocr"))
     blended = F.when(F.col("ocr").isNull(), F.col("base")).otherwise(0.6 * F.col("base") + 0.4 * F.col("ocr"))
     clamped = F.greatest(F.lit(0.1), F.least(blended, F.lit(0.97)))
-    return stats.select(*keys, F.round(clamped, 2).alias("confidence"))
+    scored = stats.select(*keys, F.round(clamped, 2).alias("confidence"))
+    return sections.select(*keys).distinct().join(scored, keys, "left").fillna(K.EMPTY_SECTION_CONFIDENCE, ["confidence"])
+
+
+def degraded_tally(sections: DataFrame) -> DataFrame:
+    """M-08: degraded and all sections of every report."""
+    bad = F.coalesce(F.col("degraded"), F.lit(False)).cast("int")
+    return sections.groupBy("report_id").agg(F.sum(bad).alias("degraded_sections"), F.count(F.lit(1)).alias("sections"))
 
 
 def provenance_lists(chunks: DataFrame, keys: list[str], order: str) -> DataFrame:
