@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import hash128, join_by_key, stored
 from .shingles import WIDTH, linked, mix, shingle_sets
 
-UNIVERSE_BITS = 22
+UNIVERSE_BITS = 20
 BANDS, ROWS = 32, 4
 PERCENT = 75
 SLICE = 4096  # shingles whose slices are gathered at a time
@@ -50,8 +50,7 @@ class CirculantMinHash:
     def __init__(self, size: int, bits: int = UNIVERSE_BITS, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
         self.size, self.shift = size, np.uint64(64 - bits)
-        self.scatter = rng.permutation(1 << bits).astype(np.int32)
-        circle = rng.permutation(1 << bits).astype(np.int32)
+        self.scatter, circle = (rng.permutation(np.arange(1 << bits, dtype=np.int32)) for _ in range(2))
         self.slices = np.lib.stride_tricks.sliding_window_view(np.concatenate([circle, circle[: size - 1]]), size)
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
