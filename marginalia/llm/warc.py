@@ -66,7 +66,7 @@ def write(
 ) -> None:
     """Write ``pages`` as WARC files into ``folder``. Payloads of fewer than ``least_bytes`` bytes are never revisits."""
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
-    again = decisions(pages, id_col, payload, least_bytes)
+    again = stored(decisions(pages, id_col, payload, least_bytes), "revisits")  # of known size: Spark broadcasts it if small
     rows = pages.select(
         pages[id_col].alias("_page"), pages[url_col].alias("_url"), captured_at.alias("_time"), payload.alias("_payload"),
         base32_sha1(payload).alias("_own"), F.octet_length(payload).alias("_bytes"),
