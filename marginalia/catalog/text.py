@@ -20,79 +20,78 @@ from .registry import Registry
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
-TEXT = F.col("text")
 
 
-def _per_passage(name: str, columns: dict, sql: dict) -> None:
-    """A row-wise rule over every passage, as one narrow pass."""
+def _per_passage(name: str, columns, sql: dict) -> None:
+    """A row-wise rule over every passage, as one narrow pass; ``columns`` makes its Columns once a session runs."""
     shown = ", ".join(f"{expression} as {alias}" for alias, expression in sql.items())
 
     @register(name, with_views("passages") + f" select chunk_id, {shown} from passages")
     def run(spark, sf):
-        return V.passages(spark, sf).select("chunk_id", *[c.alias(a) for a, c in columns.items()])
+        return V.passages(spark, sf).select("chunk_id", *[c.alias(a) for a, c in columns().items()])
 
 
-_per_passage("text_caption", {"caption": Q.is_caption(TEXT)}, {"caption": X.is_caption("text")})
-_per_passage("text_caption_sentence", {"caption": Q.is_caption_sentence(TEXT)}, {"caption": X.is_caption_sentence("text")})
-_per_passage("text_boilerplate_rule", {"rule": Q.boilerplate_rule(TEXT)}, {"rule": X.boilerplate_rule("text")})
-_per_passage("text_title_block_cut", {"body": Q.strip_title_block(TEXT)}, {"body": X.strip_title_block("text")})
-_per_passage("text_contact_block_cut", {"body": Q.strip_contact_block(TEXT)}, {"body": X.strip_contact_block("text")})
-_per_passage("text_prose_score", {"score": F.round(Q.prose_score(TEXT), 9)}, {"score": f"round({X.prose_score('text')}, 9)"})
-_per_passage("text_usable_sentence", {"usable": Q.usable_sentence(TEXT)}, {"usable": X.usable_sentence("text")})
-_per_passage("text_reads_like_sentence", {"sentence": Q.looks_like_sentence(TEXT)}, {"sentence": X.looks_like_sentence("text")})
+_per_passage("text_caption", lambda: {"caption": Q.is_caption(F.col("text"))}, {"caption": X.is_caption("text")})
+_per_passage("text_caption_sentence", lambda: {"caption": Q.is_caption_sentence(F.col("text"))}, {"caption": X.is_caption_sentence("text")})
+_per_passage("text_boilerplate_rule", lambda: {"rule": Q.boilerplate_rule(F.col("text"))}, {"rule": X.boilerplate_rule("text")})
+_per_passage("text_title_block_cut", lambda: {"body": Q.strip_title_block(F.col("text"))}, {"body": X.strip_title_block("text")})
+_per_passage("text_contact_block_cut", lambda: {"body": Q.strip_contact_block(F.col("text"))}, {"body": X.strip_contact_block("text")})
+_per_passage("text_prose_score", lambda: {"score": F.round(Q.prose_score(F.col("text")), 9)}, {"score": f"round({X.prose_score('text')}, 9)"})
+_per_passage("text_usable_sentence", lambda: {"usable": Q.usable_sentence(F.col("text"))}, {"usable": X.usable_sentence("text")})
+_per_passage("text_reads_like_sentence", lambda: {"sentence": Q.looks_like_sentence(F.col("text"))}, {"sentence": X.looks_like_sentence("text")})
 _per_passage(
     "text_noncontent",
-    {"off": Q.is_noncontent(F.col("section_label"), TEXT)},
+    lambda: {"off": Q.is_noncontent(F.col("section_label"), F.col("text"))},
     {"off": f"({X.has('section_label', X.NONCONTENT)} or {X.has('text', K.MODEL_TOKEN)})"},
 )
-_per_passage("text_dedupe_key", {"key": Q.dedupe_key(TEXT)}, {"key": X.dedupe_key("text")})
+_per_passage("text_dedupe_key", lambda: {"key": Q.dedupe_key(F.col("text"))}, {"key": X.dedupe_key("text")})
 _per_passage(
     "text_snippet",
-    {"snippet": T.clean_snippet(TEXT, 120), "card": T.truncate_card(TEXT, 80)},
+    lambda: {"snippet": T.clean_snippet(F.col("text"), 120), "card": T.truncate_card(F.col("text"), 80)},
     {"snippet": X.shorten("text", 120, 0.4), "card": X.shorten("text", 80, 0.5)},
 )
-_per_passage("text_token_count", {"tokens": T.token_count(TEXT)}, {"tokens": f"len({X.words('text')})::int"})
+_per_passage("text_token_count", lambda: {"tokens": T.token_count(F.col("text"))}, {"tokens": f"len({X.words('text')})::int"})
 _per_passage(
     "text_markers",
-    {"bare": T.strip_markers(TEXT), "first_marker": T.first_marker(TEXT)},
+    lambda: {"bare": T.strip_markers(F.col("text")), "first_marker": T.first_marker(F.col("text"))},
     {"bare": X.strip_markers("text"), "first_marker": f"try_cast(regexp_extract(text, {X.q(r'\[(\d{1,3})\]')}, 1) as int)"},
 )
-_per_passage("text_normalized_front", {"front": M.normalize_front(TEXT)}, {"front": X.normalize_front("text")})
+_per_passage("text_normalized_front", lambda: {"front": M.normalize_front(F.col("text"))}, {"front": X.normalize_front("text")})
 _per_passage(
     "text_content_key",
-    {"content_key": M.content_key(F.col("paper_id"), F.lit("fact"), TEXT)},
+    lambda: {"content_key": M.content_key(F.col("paper_id"), F.lit("fact"), F.col("text"))},
     {"content_key": f"left(sha1(concat(paper_id, '|fact|', {X.normalize_front('text')})), 16)"},
 )
 _per_passage(
     "text_textual_chunks",
-    {"textual": Q.is_textual(F.when(F.col("ordinal") % 5 == 0, "image").otherwise(F.col("modality")), TEXT)},
+    lambda: {"textual": Q.is_textual(F.when(F.col("ordinal") % 5 == 0, "image").otherwise(F.col("modality")), F.col("text"))},
     {"textual": f"(case when ordinal % 5 = 0 then 'image' else modality end <> 'image' and {X.strip('text')} <> '')"},
 )
 _per_passage(
     "text_figure_fallback",
-    {"shown": Q.figure_text(F.when(F.col("ordinal") % 2 == 0, TEXT), F.when(F.col("ordinal") % 3 == 0, F.lit("Fig 1")), F.when(F.col("page") % 2 == 0, F.col("lang")))},
+    lambda: {"shown": Q.figure_text(F.when(F.col("ordinal") % 2 == 0, F.col("text")), F.when(F.col("ordinal") % 3 == 0, F.lit("Fig 1")), F.when(F.col("page") % 2 == 0, F.col("lang")))},
     {"shown": f"coalesce(nullif({X.strip('case when ordinal % 2 = 0 then text else ' + X.q('') + ' end')}, ''),"
      " concat(case when ordinal % 3 = 0 then 'Fig 1' else 'This figure' end, case when page % 2 = 0 then concat(': ', lang)"
      " else ' — vision analysis unavailable; showing the extracted crop only.' end))"},
 )
 _per_passage(
     "text_ordinal_number",
-    {"pointer": Q.is_ordinal_number(TEXT, F.regexp_instr(TEXT, F.lit(r"\d")) - 1)},
+    lambda: {"pointer": Q.is_ordinal_number(F.col("text"), F.regexp_instr(F.col("text"), F.lit(r"\d")) - 1)},
     {"pointer": X.has("case when regexp_matches(text, '\\d') then regexp_extract(text, '^([^\\d]*)', 1) else '' end", X.LABELS)},
 )
 _per_passage(
     "text_blanked_number",
-    {"blanked": M.blanked_sentence(TEXT), "value": M.blanked_value(TEXT)},
+    lambda: {"blanked": M.blanked_sentence(F.col("text")), "value": M.blanked_value(F.col("text"))},
     {"blanked": X.blanked("text"), "value": X.let("n", X.first_number("text"), f"case when n is not null then {X.strip('n.value')} end")},
 )
 _per_passage(
     "text_definition_parts",
-    {"term": M.definition_term(TEXT), "body": M.definition_body(TEXT)},
+    lambda: {"term": M.definition_term(F.col("text")), "body": M.definition_body(F.col("text"))},
     {"term": f"coalesce({X.definition_term('text')}, '')", "body": f"coalesce({X.collapse(X.definition_part('text', 2))}, '')"},
 )
 _per_passage(
     "text_section_guess",
-    {"section": M.section_guess(TEXT)},
+    lambda: {"section": M.section_guess(F.col("text"))},
     {
         "section": X.let(
             "w", "regexp_extract_all(lower(text), '[a-z]+')",
@@ -106,7 +105,7 @@ _per_passage(
 )
 _per_passage(
     "text_card_stem",
-    {"front": M.stem("term", F.col("section_label"), term=F.col("section_label")), "lead": M.stem("lead", TEXT, True, label=F.lit("passage"), lead=T.clean_snippet(TEXT, 40))},
+    lambda: {"front": M.stem("term", F.col("section_label"), term=F.col("section_label")), "lead": M.stem("lead", F.col("text"), True, label=F.lit("passage"), lead=T.clean_snippet(F.col("text"), 40))},
     {
         "front": X.stable_choice("section_label", [X.render(t, term="section_label") for t in K.CARD_STEMS["term"][0]]),
         "lead": X.stable_choice("text", [X.render(t, label="'passage'", lead=X.shorten("text", 40, 0.4)) for t in sum(K.CARD_STEMS["lead"], [])]),
@@ -114,20 +113,20 @@ _per_passage(
 )
 _per_passage(
     "text_predicate_form",
-    {"pred": M.lower_first(M.as_predicate(M.trim_period(F.concat(F.lit("It is "), TEXT))))},
+    lambda: {"pred": M.lower_first(M.as_predicate(M.trim_period(F.concat(F.lit("It is "), F.col("text")))))},
     {"pred": X.let("p", X.rstrip(X.strip("'It is ' || text"), " ."), X.let("b", X.strip("substr(p, 7)"), X.let(
         "c", "case when len(b) < 12 then p else b end",
         f"case when c = '' or regexp_matches(substr(c, 2, 1), '^\\p{{Lu}}$') then c else lower(substr(c, 1, 1)) || substr(c, 2) end")))},
 )
 _per_passage(
     "text_number_mutation",
-    {"mutated": M.mutate_number(F.when(F.col("ordinal") % 3 == 0, F.concat(F.col("ordinal").cast("string"), F.lit(".5"))).otherwise((F.col("ordinal") * 97).cast("string")), F.lit("%"))},
+    lambda: {"mutated": M.mutate_number(F.when(F.col("ordinal") % 3 == 0, F.concat(F.col("ordinal").cast("string"), F.lit(".5"))).otherwise((F.col("ordinal") * 97).cast("string")), F.lit("%"))},
     {"mutated": "concat(case when ordinal % 3 = 0 then case when ordinal * 2 + 1 > 0 then (ordinal * 2 + 1)::varchar end"
      " when ordinal * 97 between 1900 and 2100 then (ordinal * 97 + 7)::varchar when ordinal = 0 then '1' else (ordinal * 194)::varchar end, '%')"},
 )
 _per_passage(
     "text_term_mask",
-    {"masked": M.mask_term(TEXT, F.lit("Byte Pair Encoding (BPE)")), "variants": F.array_join(M.term_variants(F.lit("Byte Pair Encoding (BPE)")), "|")},
+    lambda: {"masked": M.mask_term(F.col("text"), F.lit("Byte Pair Encoding (BPE)")), "variants": F.array_join(M.term_variants(F.lit("Byte Pair Encoding (BPE)")), "|")},
     {
         "masked": X.let("m", "text", X.collapse("regexp_replace(regexp_replace(m, '(?i)Byte Pair Encoding \\(BPE\\)', '___', 'g'), '(?i)Byte Pair Encodings?', '___', 'g')").replace("m, '(?i)Byte Pair Encoding \\(BPE", "m, '(?i)Byte Pair Encoding \\(BPE")),
         "variants": "'Byte Pair Encoding (BPE)|Byte Pair Encoding|BPE'",
@@ -141,7 +140,7 @@ _per_passage(
 )
 def repair_markers(spark, sf):
     n = (F.col("ordinal") % 7 + 1).cast("string")
-    raw = F.concat(TEXT, F.lit(" [n] "), n, F.lit(" and **("), n, F.lit(")**."))
+    raw = F.concat(F.col("text"), F.lit(" [n] "), n, F.lit(" and **("), n, F.lit(")**."))
     return V.passages(spark, sf).select("chunk_id", T.repair_markers(raw, F.lit(5)).alias("repaired"))
 
 
@@ -151,9 +150,9 @@ def repair_markers(spark, sf):
 )
 def strip_preamble(spark, sf):
     raw = (
-        F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("Sure, here is the rewritten text:\n\n"), TEXT))
-        .when(F.col("ordinal") % 3 == 1, F.concat(F.lit("```markdown\n"), TEXT, F.lit("\n```")))
-        .otherwise(TEXT)
+        F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("Sure, here is the rewritten text:\n\n"), F.col("text")))
+        .when(F.col("ordinal") % 3 == 1, F.concat(F.lit("```markdown\n"), F.col("text"), F.lit("\n```")))
+        .otherwise(F.col("text"))
     )
     return V.passages(spark, sf).select("chunk_id", T.strip_preamble(raw).alias("body"))
 
@@ -164,7 +163,7 @@ def strip_preamble(spark, sf):
 )
 def sentences(spark, sf):
     return V.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("paper_id"), F.posexplode(T.sentences(TEXT)).alias("position", "sentence")
+        F.col("doc_id").alias("paper_id"), F.posexplode(T.sentences(F.col("text"))).alias("position", "sentence")
     )
 
 
@@ -235,7 +234,7 @@ def group_finalize(spark, sf):
   from passages where text <> ''""",
 )
 def chunk_numbering(spark, sf):
-    pieces = V.passages(spark, sf).filter(TEXT != "").select(
+    pieces = V.passages(spark, sf).filter(F.col("text") != "").select(
         "paper_id", "page", "text", F.col("ordinal").alias("group_no"), F.lit(0).alias("piece")
     )
     return C.number_chunks(pieces).select("paper_id", "page", "text", "ordinal", "chunk_id")
@@ -366,7 +365,7 @@ def diversified(spark, sf):
   from bags a join bags b on a.paper_id = b.paper_id and b.ordinal = a.ordinal + 1""",
 )
 def jaccard_neighbours(spark, sf):
-    bags = V.passages(spark, sf).select("paper_id", "ordinal", "chunk_id", Q.content_words(TEXT).alias("w"))
+    bags = V.passages(spark, sf).select("paper_id", "ordinal", "chunk_id", Q.content_words(F.col("text")).alias("w"))
     following = bags.select("paper_id", (F.col("ordinal") - 1).alias("ordinal"), F.col("w").alias("w2"))
     return bags.join(following, ["paper_id", "ordinal"]).select("chunk_id", F.round(Q.jaccard(F.col("w"), F.col("w2")), 9).alias("jaccard"))
 
@@ -402,7 +401,7 @@ HEADING = f"(len({X.strip('text')}) <= 100 and {X.strip('text')} <> '' and (tag
 )
 def section_labels(spark, sf):
     blocks = R.html_blocks(V.table(spark, sf, "pages"))
-    heading = R.looks_like_heading(TEXT, F.col("tag").startswith("h"))
+    heading = R.looks_like_heading(F.col("text"), F.col("tag").startswith("h"))
     out = R.sectioned_blocks(blocks, ["page_id"], heading)
     return out.select("page_id", "ordinal", "section_label", "text", "token_count")
 
@@ -424,8 +423,8 @@ def _turn_pairs(spark, sf):
 )
 def normalized_text(spark, sf):
     return V.table(spark, sf, "conversations").select(
-        "conv_id", "turn", G.normalize_text(TEXT).alias("normal"), G.punctuation_free(TEXT).alias("bare"),
-        F.array_join(G.content_tokens(TEXT), " ").alias("tokens"),
+        "conv_id", "turn", G.normalize_text(F.col("text")).alias("normal"), G.punctuation_free(F.col("text")).alias("bare"),
+        F.array_join(G.content_tokens(F.col("text")), " ").alias("tokens"),
     )
 
 
@@ -434,7 +433,7 @@ def normalized_text(spark, sf):
     _turns + f" select conv_id, turn, round({X.token_overlap('text', 'coalesce(reply, ' + X.q('') + ')')}, 9) as overlap from turns",
 )
 def token_overlap(spark, sf):
-    return _turn_pairs(spark, sf).select("conv_id", "turn", F.round(G.token_overlap(TEXT, F.col("reply")), 9).alias("overlap"))
+    return _turn_pairs(spark, sf).select("conv_id", "turn", F.round(G.token_overlap(F.col("text"), F.col("reply")), 9).alias("overlap"))
 
 
 EVENT_ANSWER = "case event_id % 6 when 0 then 'n/a' when 1 then 'I don''t know!' when 2 then '  IDK ' when 3 then event_type when 4 then '?' else concat('the ', event_type, ' rate') end"
@@ -553,7 +552,7 @@ def upload_titles(spark, sf):
     return V.table(spark, sf, "documents").select(
         "doc_id",
         R.derive_title(
-            F.when(rest == 0, " Given "), F.when(rest == 1, "From metadata"), F.when(rest == 2, TEXT),
+            F.when(rest == 0, " Given "), F.when(rest == 1, "From metadata"), F.when(rest == 2, F.col("text")),
             F.when(rest != 4, F.concat(F.lit("dir/file"), "doc_id", F.lit(".pdf"))),
         ).alias("title"),
     )
