@@ -48,9 +48,10 @@ def join_by_key(rows: DataFrame, keys: DataFrame, on: str, weight: str, spread:
 
     ``keys`` holds the number of rows per key in ``weight``. The heaviest
     ``TOP_KEYS`` keys (a table of proven size) are spread over ``SALTS`` parts by
-    ``spread``; their one row is copied to each part.
+    ``spread``; their one row is copied to each part. Both sides choose the heaviest
+    keys for themselves, so ties are broken by the key: another choice would lose rows.
     """
-    heavy = keys.orderBy(F.desc(weight)).limit(TOP_KEYS).select(on, F.lit(True).alias("_heavy"))
+    heavy = keys.orderBy(F.desc(weight), on).limit(TOP_KEYS).select(on, F.lit(True).alias("_heavy"))
     heavy = F.broadcast(heavy)
     part = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
