@@ -147,18 +147,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over whole tables: inserts with an estimate from the bytes, revised counts from the tokenizer,
     and deletes of the documents labelled toxic; the second batch is delivered twice."""
-    docs = table(spark, sf_dir, "documents")
-    keys = ["doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("version"), F.lit(0).cast("long").alias("seq")]
+    docs = token_counts.named(table(spark, sf_dir, "documents"))
+    keys = ["doc_id", "part", "source", "lang", F.lit("byte_bpe_50k").alias("version"), F.lit(0).cast("long").alias("seq")]
     estimate = F.floor(F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("long").alias("tokens")
-    counted = token_counts.count_tokens(docs.select("doc_id", "source", "lang", "text"))
+    counted = token_counts.count_tokens(docs.select("doc_id", "part", "source", "lang", "text"))
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    gone = [F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), *keys[3:]]
+    toxic = docs.select("doc_id", "part").join(toxic, "doc_id", "left_semi")
+    gone = [F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), *keys[4:]]
     store = token_counts.RollupStore(spark, new_folder(spark, "token-rollup"))
-    store.commit("1-load", docs.select(F.lit("insert").alias("op"), *keys, estimate))
-    revised = counted.select(F.lit("revise").alias("op"), *keys, "tokens")
+    store.commit("1-load", token_counts.merged(docs.select(F.lit("insert").alias("op"), *keys, estimate)))
+    revised = token_counts.merged(counted.select(F.lit("revise").alias("op"), *keys, "tokens"))
     store.commit("2-recount", revised)
     store.commit("2-recount", revised)
-    store.commit("3-takedown", toxic.select(F.lit("delete").alias("op"), "doc_id", *gone, F.lit(0).cast("long").alias("tokens")))
+    store.commit("3-takedown", toxic.select(F.lit("delete").alias("op"), "doc_id", "part", *gone, F.lit(0).cast("long").alias("tokens")))
     return store.totals()
 
 
