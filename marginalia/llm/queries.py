@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, minhash, packing, sharding, token_counts, toxicity, url_filter, warc
+from . import chat, decontaminate, divergence, exact_dedup, filter_audit, minhash, packing, quality_ratio, sharding, token_counts, toxicity
+from . import url_filter, warc
 from .common import new_folder
 
 QUERIES: dict = {}
@@ -216,6 +217,150 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histories.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query(
+    "op11_quality_rules",
+    r"""
+with split as (
+    select row_number() over () as row, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+    from documents
+), hashed as (
+    select row, doc_id, list_transform(words, lambda w: ('0x' || md5(w)[1:8])::bigint) as h, len(words) as n from split
+), grams as (
+    select row, doc_id, unnest(h || list_transform(range(1, n), lambda i: (h[i] * 40503 + h[i + 1] * 7919 + 1) % 4294967296)) as gram from hashed
+), totals as (
+    select count(*) as raw, count(*) filter (doc_id in (select doc_id from labels where quality = 1)) as target,
+        (select coalesce(max(1::bigint << k), 1) from range(0, 17) t(k) where (1::bigint << k) * 128 <= (select count(*) from grams)) as size
+    from grams
+), weights as (
+    select gram % (select size from totals) as cell, count(*) as raw,
+        count(*) filter (doc_id in (select doc_id from labels where quality = 1)) as target
+    from grams group by 1
+), ratios as (
+    select cell, round(ln(((w.target + 1) / (t.target + t.size)::double) / ((w.raw + 1) / (t.raw + t.size)::double)) * 1e6)::bigint as ratio
+    from weights w, totals t
+), scored as (
+    select g.row, count(*) as n_grams, sum(ratio)::bigint as llr_micro
+    from grams g join ratios on cell = gram % (select size from totals) group by g.row
+), windows as (
+    select row, i, array_to_string(words[i : i + 7], ' ') as w from (select row, words, unnest(range(1, len(words) - 6)) as i from split)
+), twice as (
+    select row, i from windows qualify count(*) over (partition by row, w) > 1
+), covered as (
+    select row, sum(least(8, i - last))::bigint as n from (select row, i, lag(i, 1, -8) over (partition by row order by i) as last from twice) group by row
+), lines as (
+    select row, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+        - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as n
+    from split
+), base as (
+    select s.row, doc_id, len(words) as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, l.n::bigint as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
+    from split s left join covered c using (row) left join lines l using (row)
+), judged as (
+    select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from base
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and coalesce(llr_micro, 0) >= -100000 * coalesce(n_grams, 0) as kept,
+    coalesce(n_grams, 0) as n_grams, coalesce(llr_micro, 0) as llr_micro
+from judged left join scored using (row)
+""",
+)
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality_ratio.judge(table(spark, sf_dir, "documents"), trusted)
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+with split as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+    from documents
+), failing as (
+    select part, doc_id,
+        (len(words) < 100)::int + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::int
+        + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::int
+        + 8 * regexp_matches(text, '[#$%&*|]')::int
+        + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as mask
+    from split
+), marked as (
+    select f.*, coalesce(good, false) as good, coalesce(toxic, false) as toxic
+    from failing f left join (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id) l using (doc_id)
+), tally as (
+    select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from marked group by part, mask
+), letters as (
+    select i, chr(65 + i::int) as letter, 1 << i as bit from range(0, 5) t(i)
+), orders as (
+    select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order
+    from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5
+), steps as (
+    select filter_order, step::int as step, bit,
+        coalesce((select sum(p.bit) from letters p where instr(filter_order, p.letter) < step), 0) as before
+    from orders, range(1, 6) s(step), letters where letter = filter_order[step]
+), counted as (
+    select part, filter_order, step, bit,
+        sum(n) filter (mask & (bit | before::int) = 0) as kept,
+        sum(n) filter (mask & before::int = 0 and mask & bit > 0) as removed,
+        sum(n) filter (mask & before::int > 0 and mask & bit > 0) as redundant,
+        sum(n) filter (mask = bit) as unique_fails,
+        sum(good) filter (mask & before::int = 0 and mask & bit > 0) as good_lost,
+        sum(toxic) filter (mask & before::int = 0 and mask & bit > 0) as toxic_lost
+    from steps, tally group by part, filter_order, step, bit
+)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+    coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+    coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+    coalesce(sum(removed) over (partition by part, bit), 0)::bigint as shapley
+from counted
+""",
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op13_source_divergence",
+    r"""
+with rows as (
+    select row_number() over () as row, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents
+), words as (
+    select row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from rows
+), kept as (
+    select lang, term from words group by lang, term having count(distinct row) >= 3
+), found as (
+    select lang, source, term, count(*) as n from words join kept using (lang, term) group by lang, source, term
+), groups as (
+    select lang, source, coalesce(n, 0) as n, coalesce(v, 0) as v
+    from (select distinct lang, source from rows) left join (select lang, source, sum(n) as n from found group by lang, source) using (lang, source)
+        left join (select lang, count(*) as v from kept group by lang) using (lang)
+), chances as (
+    select lang, source, term, coalesce(f.n, 0) as n,
+        1 + (1000000000::hugeint * (coalesce(f.n, 0) + 1)) // (g.n + v)::hugeint as p
+    from groups g join kept using (lang) left join found f using (lang, source, term)
+), whole as (
+    select lang, term, 1 + (1000000000::hugeint * (sum(n) + 1)) // (sum(sum(n)) over (partition by lang) + count(*) over (partition by lang))::hugeint as q
+    from found group by lang, term
+), pairs as (
+    select g.lang, g.source, o.source as item, coalesce(value, 0)::bigint as value
+    from groups g join groups o on g.lang = o.lang and g.source <> o.source left join (
+        select a.lang, a.source, b.source as other, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+        from chances a join chances b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+    ) s on s.lang = g.lang and s.source = g.source and s.other = o.source
+), terms as (
+    select lang, source, term as item, ((p - q) * (p - q) // q)::bigint as value from chances join whole using (lang, term) where n > 0 and p > q
+), ranked as (
+    select lang, source, 'pair' as part, item, value from pairs union all select lang, source, 'term', item, value from terms
+)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+from ranked qualify part = 'pair' or rank <= 200
+""",
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # its stages use this module
