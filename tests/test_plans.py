@@ -171,7 +171,7 @@ DRAFTS = "paper_id long, kind string, difficulty string, family string, source_i
 
 
 def _picked(spark, drafts, asked, count):
-    valid = spark.createDataFrame([(1, "true_false", "recall", *d) for d in drafts], DRAFTS)
+    valid = spark.createDataFrame([(1, *(("true_false", "recall", *d) if len(d) == 6 else d)) for d in drafts], DRAFTS)
     before = spark.createDataFrame([(1, p) for p in asked], "paper_id long, prompt string")
     chosen = quiz.select_questions(valid, before, count).join(valid.withColumn("draft_id", quiz.draft_id()), ["paper_id", "draft_id"])
     return [r.prompt for r in chosen.orderBy("index").collect()]
@@ -186,11 +186,29 @@ def test_selection_respects_caps_and_relaxes_them_in_order(spark):
     assert _picked(spark, drafts, ["p8"], 4) == ["p0", "p2", "p7", "p9"]
     # three per family of five; then the source rule falls, at last the ban on p8
     assert _picked(spark, drafts, ["p8"], 5) == ["p0", "p2", "p6", "p9", "p11"]
-    assert _picked(spark, drafts, ["p8"], 6)[-1] == "p10" and _picked(spark, drafts, ["p8"], 7)[-1] == "p7"
+    assert _picked(spark, drafts, ["p8"], 6)[-1] == "p10" and _picked(spark, drafts, ["p8"], 7)[-1] == "p11"
     everything = _picked(spark, drafts, ["p8"], 30)
     assert everything[-1] == "p8" and len(everything) == 8 and sum(p in ("p0", "p1", "p2", "p3", "p4", "p5") for p in everything) == 2
 
 
+def test_a_rejected_draft_does_not_cost_its_slot_the_turn(spark):
+    first, second = ("multiple_choice", "recall"), ("true_false", "recall")
+    drafts = [
+        (*first, "definition", "s0", "pc", "pc", "a", 0), (*first, "definition", "s2", "pd", "pd", "b", 1),
+        (*second, "numeric", "s0", "pa", "pa", "c", 0), (*second, "numeric", "s3", "pb", "pb", "d", 1),
+    ]
+    assert _picked(spark, drafts, [], 2) == ["pc", "pb"]
+    # the second slot offers four drafts a turn; the fifth comes in the next turn, after the first slot's second
+    crowd = [(*second, "numeric", "s0", f"x{i}", f"x{i}", "c", i) for i in range(4)] + [(*second, "numeric", "s9", "late", "late", "e", 9)]
+    assert _picked(spark, [*drafts[:2], *crowd], [], 3) == ["pc", "pd", "late"]
+
+
+def test_slots_take_turns_in_tier_order(spark):
+    kinds = [(k, t) for t in K.DIFFICULTIES for k in K.QUESTION_KINDS]
+    drafts = [(*kinds[i % 9], "definition", f"s{i}", f"p{i}", f"p{i}", f"a{i}", i) for i in range(27)]
+    assert _picked(spark, drafts, [], 20) == [f"p{i}" for i in range(20)]
+
+
 def test_interleave_takes_turns(spark):
     rows = [(1, b, i, "fact", f"front {b} {i}", f"wide {b} {i}", "back") for b, n in ((1, 3), (2, 1), (3, 2)) for i in range(n)]
     df = spark.createDataFrame(rows, "paper_id int, bucket int, place int, origin string, front string, wide_front string, back string")
