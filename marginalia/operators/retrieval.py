@@ -9,19 +9,19 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import constants as K
 from ..functions.quality import is_textual
 from ..functions.text import blank_safe, digest_mod, keyword_score, let, once, strip, words
-from .skew import first_per_key, running_number, top_per_key
+from .skew import first_per_key, hot_join, reliable, running_number, top_per_key
 
 DIM = 1024
 SCORE_DIGITS = 9
-MAX_QUERY_BYTES = 64 << 20  # question vectors shipped to tasks at a time
-MAX_QUERY_ROWS = 1024
 
 
 # --- embedding -------------------------------------------------------------------
@@ -170,83 +170,224 @@ def sparse_nearest(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame
 
 # --- dense top-k ----------------------------------------------------------------
 
+SAMPLE_ROWS = 4096  # vectors that fix the centroids and the first thresholds; at most SAMPLE_BYTES
+SAMPLE_BYTES = 32 << 20
+CELLS = 256
+BLOCK_ROWS = 8192  # vectors in one block
+QUESTION_ROWS = 1024  # questions that meet a block at a time
+SLACK = 1e-8  # scores are rounded, bounds are not
+
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1)
     return matrix / np.where(norms == 0, 1e-9, norms)[:, None]
 
 
-def _batch_top_k(asked: pd.DataFrame, k: int, per_paper: bool):
-    """Best ``k`` chunks of each Arrow batch for every shipped question."""
-    unit = _unit(np.stack(asked["embedding"].to_numpy()).astype("float64"))
-    low = asked[["page_lo", "page_hi"]].min(axis=1).to_numpy("float64")
-    high = asked[["page_lo", "page_hi"]].max(axis=1).to_numpy("float64")
-    scoped = asked["paper_id"].notna().to_numpy()
+def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Unit vectors of a list column without nulls; an empty column has no dimension."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    return _unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
+
+
+def _page_span(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest page of each question, NaN without a range."""
+    ends = [rows.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("page_lo", "page_hi")]
+    low, high = np.fmin(*ends), np.fmax(*ends)
+    return np.maximum(low, 1), np.maximum(high, 1)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
-                continue
-            scores = np.round(unit @ _unit(np.stack(frame["embedding"].to_numpy()).astype("float64")).T, SCORE_DIGITS)
-            page = frame["page"].to_numpy("float64", na_value=np.nan)
-            paper, ids = frame["paper_id"].to_numpy(), frame["chunk_id"].to_numpy()
-            out = []
-            for i in range(len(asked)):
-                keep = np.ones(len(frame), bool)
-                if scoped[i]:
-                    keep &= paper == asked["paper_id"].iloc[i]
-                if not np.isnan(low[i]):
-                    keep &= (page >= max(low[i], 1)) & (page <= max(high[i], 1))
-                at = np.flatnonzero(keep)
-                if not len(at):
-                    continue
-                groups = paper[at] if per_paper else np.zeros(len(at), int)
-                order = np.lexsort((ids[at], -scores[i, at], groups))
-                grouped = groups[order]
-                starts = np.flatnonzero(np.r_[True, grouped[1:] != grouped[:-1]])
-                rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-                best = at[order[rank < k]]
-                out.append(
-                    pd.DataFrame(
-                        {"question_id": asked["question_id"].iloc[i], "paper_id": paper[best], "chunk_id": ids[best], "score": scores[i, best]}
-                    )
-                )
-            if out:
-                yield pd.concat(out)
+
+def _pages(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+class Cells:
+    """Centroids of a bounded sample of the vectors, and each cell's size and radius.
+
+    A score inside a cell lies within ``question * centroid +- radius`` (Cauchy-Schwarz
+    on the vector's distance from its centroid), so a cell whose upper bound is below
+    ``k`` known scores of a question is skipped.
+    """
+
+    def __init__(self, sample: pa.Table, cells: int = CELLS, rounds: int = 4) -> None:
+        self.sample, self.pages = _units(sample.column("embedding")), _pages(sample.column("page"))
+        self.centroids = self.sample[:: max(1, len(self.sample) // cells)][:cells]
+        for _ in range(rounds if len(self.sample) else 0):
+            own = np.argmax(self.sample @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1), axis=1)
+            sums, sizes = np.zeros_like(self.centroids), np.bincount(own, minlength=len(self.centroids))
+            np.add.at(sums, own, self.sample)
+            self.centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], self.centroids)
+        self.sizes, self.radii = np.zeros(len(self.centroids), int), np.zeros(len(self.centroids))
+
+    def place(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest cell of each vector and the distance from its centroid."""
+        cell = np.argmax(units @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1), axis=1)
+        return cell, np.linalg.norm(units - self.centroids[cell], axis=1)
+
+    def visits(self, units: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+        """For each question, the cells that may hold one of its ``k`` best: a boolean matrix."""
+        middle = units @ self.centroids.T
+        spread = np.linalg.norm(units, axis=1)[:, None] * self.radii[None, :]
+        known = units @ self.sample.T
+        ranged = ~np.isnan(low)
+        outside = ranged[:, None] & ~((self.pages >= low[:, None]) & (self.pages <= high[:, None]))
+        known[outside] = -np.inf
+        least = np.full(len(units), -np.inf)
+        if known.shape[1] >= k:
+            least = np.partition(known, -k, axis=1)[:, -k]
+        # cells by their lower bound: the one in which the k-th vector falls bounds the k-th score as well
+        order = np.argsort(-(middle - spread), axis=1)
+        reached = np.cumsum(self.sizes[order], axis=1) >= k
+        at = np.take_along_axis(order, reached.argmax(axis=1)[:, None], 1)
+        by_cell = np.where(reached.any(axis=1) & ~ranged, np.take_along_axis(middle - spread, at, 1)[:, 0], -np.inf)
+        return (middle + spread >= np.maximum(least, by_cell)[:, None] - SLACK) & (self.sizes > 0)
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def fit_cells(vectors: DataFrame, cells: int = CELLS) -> tuple[Cells, DataFrame]:
+    """Cells, and the vectors with ``cell``. The sample, and one row per cell, are all that reaches the driver."""
+    dim = vectors.select(F.size("embedding").alias("d")).first()
+    rows = min(SAMPLE_ROWS, max(1, SAMPLE_BYTES // (8 * max(1, dim[0] if dim else 1))))
+    sample = vectors.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(rows).select("embedding", "page")
+    fitted = Cells(sample.toArrow(), cells)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell, far = fitted.place(_units(batch.column("embedding")))
+                yield batch.append_column("cell", pa.array(cell, pa.int32())).append_column("far", pa.array(far, pa.float64()))
+
+    placed = reliable(vectors.mapInArrow(place, f"{_fields(vectors)}, cell int, far double"))
+    for row in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect():
+        fitted.sizes[row["cell"]], fitted.radii[row["cell"]] = row["n"], row["r"]
+    return fitted, placed.drop("far")
+
+
+def route(questions: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """One row per question and cell that it has to visit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                question, cell = np.nonzero(cells.visits(_units(batch.column("embedding")), *_page_span(batch), k))
+                yield batch.take(pa.array(question)).append_column("cell", pa.array(cell, pa.int32()))
+
+    return questions.mapInArrow(run, f"{_fields(questions)}, cell int")
+
+
+def _block_top_k(k: int, per_paper: bool, schema: pa.Schema):
+    """Best ``k`` of one block of vectors for one block of questions."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        held = held.sort_by("chunk_id")  # ties go by id: a stable sort by score keeps this order
+        scores = np.round(_units(asked.column("embedding")) @ _units(held.column("embedding")).T, SCORE_DIGITS)
+        both = pa.chunked_array(asked.column("paper_id").chunks + held.column("paper_id").chunks, held.schema.field("paper_id").type)
+        codes = both.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        wanted, paper = codes[: asked.num_rows], codes[asked.num_rows :]
+        scoped = asked.column("paper_id").is_valid().to_numpy()
+        low, high = _page_span(asked)
+        page = _pages(held.column("page"))
+        who, which = [], []
+        for i in range(asked.num_rows):
+            keep = paper == wanted[i] if scoped[i] else np.ones(len(page), bool)
+            if not np.isnan(low[i]):
+                keep &= (page >= low[i]) & (page <= high[i])
+            at = np.flatnonzero(keep)
+            if per_paper:
+                at = at[np.lexsort((-scores[i, at], paper[at]))]
+                starts = np.flatnonzero(np.r_[True, paper[at][1:] != paper[at][:-1]]) if len(at) else np.zeros(0, int)
+                at = at[np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)])) < k]
+            else:
+                at = at[np.argsort(-scores[i, at], kind="stable")][:k]
+            who.append(np.full(len(at), i))
+            which.append(at)
+        who, which = np.concatenate(who), np.concatenate(which)
+        columns = [asked.column("question_id").take(pa.array(who)), *(held.column(c).take(pa.array(which)) for c in ("paper_id", "chunk_id"))]
+        return pa.table([*columns, pa.array(scores[who, which])], names=schema.names).cast(schema)
 
     return run
 
 
+def _met(asked: DataFrame, held: DataFrame, sizes: DataFrame, questions: int, k: int, per_paper: bool) -> DataFrame:
+    """Candidates of every (cell, part, question block): blocks of vectors meet blocks of questions.
+
+    asked  a question per row and ``cell`` it visits; held  vectors with ``cell``; sizes  cell, parts.
+    """
+    slices = max(1, math.ceil(questions / QUESTION_ROWS))
+    asked = asked.withColumn("_slice", F.pmod(F.xxhash64("question_id"), F.lit(slices)).cast("int"))
+    visited = asked.select("cell", "_slice").distinct()
+    left = asked.join(sizes, "cell").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    places = sizes.join(visited, "cell").groupBy("cell", "parts").agg(F.collect_list("_slice").alias("slices"))
+    right = hot_join(held, places, ["cell"], F.col("chunk_id"), "inner")
+    right = right.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"))
+    right = right.withColumn("_slice", F.explode("slices")).drop("slices", "parts")
+    types = {f.name: f.dataType for f in held.schema.fields} | {"question_id": asked.schema["question_id"].dataType}
+    names = ["question_id", "paper_id", "chunk_id"]
+    schema = pa.schema([*[(c, to_arrow_type(types[c])) for c in names], ("score", pa.float64())])
+    ddl = ", ".join(f"{c} {types[c].simpleString()}" for c in names) + ", score double"
+    keys = ["cell", "_part", "_slice"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_top_k(k, per_paper, schema), ddl)
+
+
 def nearest(questions: DataFrame, vectors: DataFrame, k: int, per_paper: bool = False) -> DataFrame:
     """V-03, V-05, V-06, V-07: exact cosine top-k.
 
     questions  question_id, embedding, paper_id (null = all papers), page_lo, page_hi (null = all pages)
     vectors    chunk_id, paper_id, page, embedding
 
-    Question vectors travel to the tasks in slices of a checked size; each Arrow
-    batch of chunks answers a slice with one matrix product and keeps its own
-    best ``k``, so only candidates are shuffled. Filters run before the cut.
+    Vectors lie in cells. For open questions a cell surrounds a centroid, and a
+    question visits only the cells whose bound reaches the score that ``k`` vectors
+    are known to have; for questions about one paper, or about each paper, a cell
+    is a hash bucket of papers. Cells are cut into parts of ``BLOCK_ROWS``; each
+    part meets the questions that visit it, ``QUESTION_ROWS`` at a time, in one
+    matrix product that keeps its own best ``k``. The vectors are scanned for the
+    sample and once to be placed, whatever the number of questions.
+
+    A null embedding of a question or chunk takes no part; the norm of a zero vector counts as
+    1e-9, so it scores 0; ties go by ``chunk_id``; page bounds are clamped to 1 and swapped if
+    inverted, and a chunk without a page is outside every range.
     """
-    questions = questions.filter(F.col("embedding").isNotNull())
-    size = questions.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    rows, dim = size[0], size[1] or 1
-    slices = max(1, math.ceil(rows / MAX_QUERY_ROWS), math.ceil(rows * dim * 8 / MAX_QUERY_BYTES))
-    types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    kind = dict(questions.dtypes)["question_id"]
-    schema = f"question_id {kind}, paper_id {types['paper_id']}, chunk_id {types['chunk_id']}, score double"
-    scan = vectors.select("chunk_id", "paper_id", "page", "embedding")
-    numbered = questions.withColumn("_slice", F.pmod(F.xxhash64("question_id"), F.lit(slices)))
-    found = None
-    for part in range(slices):
-        asked = numbered.filter(F.col("_slice") == part).orderBy("question_id").drop("_slice").toPandas()
-        if asked.empty:
-            continue
-        hits = scan.mapInPandas(_batch_top_k(asked, k, per_paper), schema)
-        found = hits if found is None else found.union(hits)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
+    vectors = vectors.select("chunk_id", "paper_id", "page", "embedding").filter(F.col("embedding").isNotNull())
+    asked = questions.select("question_id", "embedding", F.col("paper_id").cast(vectors.schema["paper_id"].dataType).alias("paper_id"), "page_lo", "page_hi")
+    asked = reliable(asked.filter(F.col("embedding").isNotNull()))
+    number = asked.count()
+    by_paper = asked if per_paper else asked.filter(F.col("paper_id").isNotNull())
+    found = []
+    if not by_paper.isEmpty():
+        found.append(_by_paper(by_paper, vectors, number, k, per_paper))
+    if not per_paper and not (is_open := asked.filter(F.col("paper_id").isNull())).isEmpty():
+        cells, placed = fit_cells(vectors)
+        sizes = [(i, max(1, math.ceil(n / BLOCK_ROWS))) for i, n in enumerate(cells.sizes.tolist()) if n]
+        sizes = vectors.sparkSession.createDataFrame(sizes, "cell int, parts int")
+        found.append(_met(route(is_open, cells, k), placed, sizes, number, k, False))
+    if not found:
+        types = dict(asked.dtypes) | dict(vectors.dtypes)
+        names = ", ".join(f"{c} {types[c]}" for c in ("question_id", "paper_id", "chunk_id"))
+        return vectors.sparkSession.createDataFrame([], f"{names}, score double, rank int")
     keys = ["question_id", "paper_id"] if per_paper else ["question_id"]
-    return top_per_key(found, keys, [F.desc("score"), F.col("chunk_id")], k, "rank")
+    hits = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return top_per_key(hits, keys, [F.desc("score"), F.col("chunk_id")], k, "rank")
+
+
+def _by_paper(asked: DataFrame, vectors: DataFrame, number: int, k: int, per_paper: bool) -> DataFrame:
+    """Questions about one paper visit its bucket, questions about each paper all buckets."""
+    buckets = max(1, math.ceil(vectors.count() / BLOCK_ROWS))
+    cell = F.pmod(F.xxhash64("paper_id"), F.lit(buckets)).cast("int")
+    held = vectors.withColumn("cell", cell)
+    sizes = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
+    if per_paper:
+        routed = asked.withColumn(
+            "cell", F.explode(F.when(F.col("paper_id").isNull(), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(cell)))
+        )
+    else:
+        routed = asked.withColumn("cell", cell)
+    return _met(routed, held, sizes, number, k, per_paper)
 
 
 def distance_score(score: Column) -> Column:

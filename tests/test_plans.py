@@ -1,7 +1,10 @@
 """Greedy operators against plain restatements on small inputs, and invariants of the plans."""
 
+import collections
+import inspect
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions import constants as K
@@ -82,16 +85,73 @@ def test_hash_vector(spark):
 
 def test_nearest_slices_agree(spark, sf, monkeypatch):
     vectors = views.vectors(spark, sf)
-    questions = vectors.limit(40).select(
-        F.col("chunk_id").alias("question_id"), "embedding", F.lit(None).cast("int").alias("paper_id"),
-        F.lit(None).cast("int").alias("page_lo"), F.lit(None).cast("int").alias("page_hi"),
+    none = F.lit(None).cast("int")
+    questions = vectors.select(
+        F.col("chunk_id").alias("question_id"), "embedding", none.alias("paper_id"), none.alias("page_lo"), none.alias("page_hi")
     )
     whole = sorted(map(tuple, retrieval.nearest(questions, vectors, 5).collect()))
-    monkeypatch.setattr(retrieval, "MAX_QUERY_ROWS", 7)
+    monkeypatch.setattr(retrieval, "QUESTION_ROWS", 7)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 9)
     assert sorted(map(tuple, retrieval.nearest(questions, vectors, 5).collect())) == whole
     assert {r[2] for r in whole if r[-1] == 1} == {r[0] for r in whole}  # a vector is nearest to itself
 
 
+def _clustered(rng, clusters=20, each=40, dim=16):
+    middles = rng.normal(size=(clusters, dim)) * 10
+    rows = [(f"c{i:04d}", i % 7 if i % 50 else None, i % 11 if i % 13 else None, (middles[i % clusters] + rng.normal(size=dim)).tolist()) for i in range(clusters * each)]
+    return [*rows, ("zero", 1, 2, [0.0] * dim), ("none", 1, 2, None), *[(f"same{i}", 3, 4, rows[5][3]) for i in range(9)]]
+
+
+def _direct(questions, vectors, k, per_paper):
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1e-9)
+    out = []
+    for qid, q, paper, low, high in questions:
+        if q is None:
+            continue
+        hits = collections.defaultdict(list)
+        for cid, p, page, v in vectors:
+            ranged = low is not None or high is not None
+            ends = [max(x, 1) for x in (low, high) if x is not None]
+            if v is None or (paper is not None and p != paper) or (ranged and (page is None or not min(ends) <= page <= max(ends))):
+                continue
+            hits[p if per_paper else None].append((-round(float(unit(q) @ unit(v)), 9), cid, p))
+        for rows in hits.values():
+            out += [(qid, p, cid, -s, n) for n, (s, cid, p) in enumerate(sorted(rows, key=lambda r: r[:2])[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def test_nearest_equals_the_direct_computation(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = _clustered(rng)
+    scopes = [(None, None, None), (3, None, None), (None, 9, 2), (5, 0, 4), (99, None, None), (None, 4, None)]
+    questions = [(f"q{i}", vectors[int(rng.integers(len(vectors) - 12))][3] if i % 9 else [0.0] * 16, *scopes[i % 6]) for i in range(40)] + [("blank", None, None, None, None)]
+    q = spark.createDataFrame(questions, "question_id string, embedding array<double>, paper_id int, page_lo int, page_hi int")
+    v = spark.createDataFrame(vectors, "chunk_id string, paper_id int, page int, embedding array<double>")
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 50)
+    for per_paper in (False, True):
+        got = [tuple(r) for r in retrieval.nearest(q, v, 4, per_paper).collect()]
+        rounded = sorted(((a, p, c, round(s, 9), n) for a, p, c, s, n in got), key=repr)
+        assert rounded == [(a, p, c, round(s, 9), n) for a, p, c, s, n in _direct(questions, vectors, 4, per_paper)]
+    assert retrieval.nearest(q.limit(0), v, 4).columns == retrieval.nearest(q, v, 4).columns
+
+
+def test_cells_beyond_the_bound_are_skipped(spark):
+    rng = np.random.default_rng(5)
+    vectors = [r for r in _clustered(rng, 40, 60) if r[3] is not None]
+    v = spark.createDataFrame(vectors, "chunk_id string, paper_id int, page int, embedding array<double>")
+    cells, placed = retrieval.fit_cells(v, 40)
+    none = F.lit(None).cast("int")
+    q = v.select(F.col("chunk_id").alias("question_id"), "embedding", none.alias("paper_id"), none.alias("page_lo"), none.alias("page_hi"))
+    visited, used = retrieval.route(q, cells, 5).count(), int((cells.sizes > 0).sum())
+    assert placed.count() == len(vectors) == cells.sizes.sum()
+    assert visited < 0.2 * used * len(vectors)  # most cells are skipped; the test above shows that no hit is lost
+
+
+def test_no_question_reaches_the_driver():
+    source = inspect.getsource(retrieval)
+    assert "toPandas" not in source
+
+
 def test_glance_draft(spark):
     rows = [
         (1, 0, "we propose a framework for this problem", 1), (1, 1, "the dataset and benchmark are large", 2),
