@@ -352,7 +352,24 @@ def noncontent(spark, sf):
     return N.drop_noncontent(_ranked(spark, sf), ["paper_id"]).select("chunk_id")
 
 
-@register("clean_diversified")
+SIMILAR = "len(list_intersect(p, b.w)) > 0 and len(list_intersect(p, b.w)) / len(list_distinct(p || b.w)) > 0.6"
+
+
+@register(
+    "clean_diversified",
+    with_views("passages").replace("with", "with recursive", 1) + "," + RANKED + f""",
+  bags as (select paper_id, chunk_id, text, {X.content_words('text')} as w, row_number() over (partition by paper_id order by rank, chunk_id) as place from ranked),
+  scan(paper_id, place, picked, places) as (
+    select distinct paper_id, 0::bigint, []::varchar[][], []::bigint[] from bags
+    union all
+    select s.paper_id, b.place,
+      case when len(list_filter(s.picked, lambda p: {SIMILAR})) = 0 then list_append(s.picked, b.w) else s.picked end,
+      case when len(list_filter(s.picked, lambda p: {SIMILAR})) = 0 then list_append(s.places, b.place) else s.places end
+    from scan s join bags b on b.paper_id = s.paper_id and b.place = s.place + 1 where len(s.places) < 6),
+  ended as (select paper_id, places from scan qualify row_number() over (partition by paper_id order by place desc) = 1)
+  select paper_id, (row_number() over (partition by paper_id order by not list_contains(places, place), place) - 1)::int as position, chunk_id, text
+  from bags join ended using (paper_id) qualify position < 6""",
+)
 def diversified(spark, sf):
     return N.diversify(_ranked(spark, sf), ["paper_id"], limit=6, order=["rank", "chunk_id"])
 

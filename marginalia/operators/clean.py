@@ -6,6 +6,9 @@ a paper and a query) and ``rank``, the order inside the scope.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +21,6 @@ from ..functions.quality import (
     is_boilerplate,
     is_caption,
     is_noncontent,
-    jaccard,
     prose_score,
     strip_title_block,
 )
@@ -143,24 +145,54 @@ def drop_noncontent(chunks: DataFrame, scope: list[str]) -> DataFrame:
     return content.unionByName(saved).drop("_off")
 
 
+def _similar(one: set, two: set) -> bool:
+    common = len(one & two)
+    return common > 0 and common / (len(one) + len(two) - common) > K.MAX_JACCARD
+
+
+def _scan(keys: list[str], limit: int):
+    """Greedy scan of rows sorted by key and rank; holds at most ``limit`` word sets and ``limit`` skipped rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, picked, skipped = None, [], []
+
+        def placed(rows: pa.RecordBatch, first: int) -> pa.RecordBatch:
+            at = pa.array(range(first, first + rows.num_rows), pa.int32())
+            return pa.RecordBatch.from_arrays([*(rows.column(c) for c in keys), at, rows.column("chunk_id"), rows.column("text")], [*keys, "position", "chunk_id", "text"])
+
+        def refill() -> Iterator[pa.RecordBatch]:
+            for n, row in enumerate(skipped[: limit - len(picked)]):
+                yield placed(row, len(picked) + n)
+
+        for batch in batches:
+            owners = list(zip(*(batch.column(c).to_pylist() for c in keys)))
+            for i, owner in enumerate(owners):
+                if owner != key:
+                    yield from refill()
+                    key, picked, skipped = owner, [], []
+                if len(picked) == limit:
+                    continue
+                words = set(batch.column("words")[i].as_py() or ())
+                if not any(_similar(words, other) for other in picked):
+                    yield placed(batch.slice(i, 1), len(picked))
+                    picked.append(words)
+                elif len(skipped) < limit:
+                    skipped.append(batch.slice(i, 1))
+        yield from refill()
+
+    return run
+
+
 def diversify(chunks: DataFrame, query: list[str], limit: int, order: list[str]) -> DataFrame:
     """Q-11: skip passages too similar to one already picked, refill from the skipped.
 
-    All candidates of a query, the passages of one document or one top-k result,
-    enter the fold; it stops comparing once ``limit`` passages are picked.
+    The rows of a query are sorted by rank (Spark's sort spills) and scanned as a
+    stream that carries the picked word sets only, so memory is bounded by
+    ``limit`` however many candidates a query has.
     """
-    candidates = chunks.withColumn("place", F.row_number().over(W.partitionBy(*query).orderBy(*order)))
-    rows = candidates.select(*query, F.struct("place", "chunk_id", content_words(F.col("text")).alias("words"), "text").alias("c"))
-    listed = rows.groupBy(*query).agg(F.array_sort(F.collect_list("c")).alias("cs"))
-
-    def pick(acc: Column, c: Column) -> Column:
-        clash = F.exists(acc, lambda p: jaccard(p["words"], c["words"]) > K.MAX_JACCARD)
-        return F.when((F.size(acc) >= limit) | clash, acc).otherwise(F.array_append(acc, c))
-
-    picked = F.aggregate("cs", F.slice("cs", 1, 0), pick)
-    chosen = listed.withColumn("picked", picked)
-    skipped = F.filter("cs", lambda c: ~F.array_contains(F.transform("picked", lambda p: p["place"]), c["place"]))
-    refill = F.slice(skipped, F.lit(1), F.greatest(F.lit(limit) - F.size("picked"), F.lit(0)))
-    return chosen.select(*query, F.posexplode(F.concat("picked", refill)).alias("position", "c")).select(
-        *query, "position", "c.chunk_id", "c.text"
-    )
+    rows = chunks.select(*query, "chunk_id", "text", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)])
+    rows = rows.repartition(*query).sortWithinPartitions(*query, *[f"_by{i}" for i in range(len(order))])
+    slim = rows.select(*query, "chunk_id", "text", content_words(F.col("text")).alias("words"))
+    types = dict(slim.dtypes)
+    keys = ", ".join(f"`{c}` {types[c]}" for c in query)
+    return slim.mapInArrow(_scan(query, limit), f"{keys}, position int, chunk_id {types['chunk_id']}, text string")

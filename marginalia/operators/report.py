@@ -174,17 +174,43 @@ def _letters(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(blank_safe(c)), F.lit("[a-z]+"), F.lit(0)))
 
 
+def _matched_words(lines: DataFrame, citations: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    asked = lines.select(*keys, "line_no", first_marker(F.col("text")).alias("_marker"), _letters(F.col("text")).alias("_words"))
+    held = citations.select(*keys, "position", "marker", "page", "chunk_id", _letters(F.col("snippet")).alias("_snippet"))
+    return asked, held
+
+
+def citation_candidates(asked: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """J-08: (line_no, position) of the citations that can reach the floor, and of those a marker names."""
+    wanted = F.size("_words") - F.ceil(F.size("_words") * F.lit(K.CITATION_MATCH_FLOOR) - F.lit(1e-9)) + 1
+    index = held.select(*keys, "position", F.explode("_snippet").alias("_word"))
+    often = index.groupBy(*keys, "_word").agg(F.count(F.lit(1)).alias("_often"))
+    words = asked.filter(F.size("_words") > 0).select(*keys, "line_no", wanted.cast("int").alias("_prefix"), F.explode("_words").alias("_word"))
+    # words that no citation has are the rarest: they use up places of the prefix and find nothing
+    ranked = words.join(often, [*keys, "_word"], "left").withColumn("_often", F.coalesce("_often", F.lit(0)))
+    place = F.row_number().over(W.partitionBy(*keys, "line_no").orderBy("_often", "_word"))  # one line's words
+    prefix = ranked.withColumn("_place", place).filter((F.col("_place") <= F.col("_prefix")) & (F.col("_often") > 0))
+    near = prefix.select(*keys, "line_no", "_word").join(index, [*keys, "_word"]).select(*keys, "line_no", "position")
+    marked = asked.filter(F.col("_marker").isNotNull()).select(*keys, "line_no", F.col("_marker").alias("marker"))
+    marked = marked.join(held.select(*keys, "marker", "position"), [*keys, "marker"]).select(*keys, "line_no", "position")
+    return near.unionByName(marked).distinct()
+
+
 def match_citations(lines: DataFrame, citations: DataFrame, keys: list[str]) -> DataFrame:
     """J-08: the citation a line points at, else the one that shares most of its words.
 
     lines(keys, line_no, text), citations(keys, position, marker, snippet, page, chunk_id).
-    A section cites at most a few dozen chunks, so a line meets only those.
+
+    A containment join with a prefix filter: a citation that shares a share ``f`` of a
+    line's n words holds at least one of any n - ceil(f * n) + 1 of them, so a line
+    looks only its rarest words up in the index of the citations' words, and only the
+    pairs found there are compared in full. An explicit marker is an equi-join.
     """
-    asked = lines.select(*keys, "line_no", first_marker(F.col("text")).alias("_marker"), _letters(F.col("text")).alias("_words"))
-    held = citations.select(*keys, "position", "marker", "page", "chunk_id", _letters(F.col("snippet")).alias("_snippet"))
+    asked, held = _matched_words(lines, citations, keys)
+    pairs = citation_candidates(asked, held, keys).join(asked, [*keys, "line_no"]).join(held, [*keys, "position"])
     share = F.when(F.size("_words") > 0, F.size(F.array_intersect("_words", "_snippet")) / F.size("_words")).otherwise(0.0)
     score = F.when(F.col("_marker") == F.col("marker"), 2.0).otherwise(share)
-    pairs = asked.join(held, keys).withColumn("score", score).filter(F.col("score") >= K.CITATION_MATCH_FLOOR)
+    pairs = pairs.withColumn("score", score).filter(F.col("score") >= K.CITATION_MATCH_FLOOR)
     return first_per_key(pairs, [*keys, "line_no"], [F.desc("score"), F.col("position")]).select(
         *keys, "line_no", "marker", "page", "chunk_id", "score"
     )

@@ -145,21 +145,83 @@ def sweep(embedded: DataFrame, queries: list[str], k: int) -> DataFrame:
     return top_per_key(score_fixed_queries(embedded, queries), ["paper_id", "query_no"], order, k, "rank")
 
 
-def sparse_nearest(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """V-04: the ``k`` best chunks of each question's paper, whatever their score.
+HOT_POSTINGS = 4096  # postings of one (paper, bucket, impact) beyond which they are spread over parts
+HOT_BLOCKS = 1000  # blocks spread; by pigeonhole any other holds less than a thousandth of all postings
+POSTING_PARTS = 32
+IMPACTS = 32  # impact classes; class n holds the weights in (2 ** -(n + 1) / 2, 2 ** -n / 2]
+
+
+def postings(chunks: DataFrame, key: str, weight: str) -> DataFrame:
+    """One row per non-zero component: key, paper_id, bucket, weight."""
+    pairs = F.explode(F.arrays_zip("buckets", "weights")).alias("z")
+    return chunks.select(key, "paper_id", pairs).select(key, "paper_id", F.col("z.buckets").alias("bucket"), F.col("z.weights").alias(weight))
+
+
+def impact_class(weight: Column) -> Column:
+    """0 for the largest weights; each class halves the square root of the weight range."""
+    return F.least(F.lit(IMPACTS - 1), F.greatest(F.lit(0), F.floor(-2 * F.log2(weight)))).cast("int")
+
+
+def posting_blocks(posted: DataFrame) -> DataFrame:
+    """The postings of a (paper, bucket) cut by impact: paper_id, bucket, impact, n, low, high."""
+    return posted.groupBy("paper_id", "bucket", "impact").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
 
-    ``questions`` and ``chunks`` hold (id, paper_id, buckets, weights). A chunk
-    meets only the questions it shares a bucket with; a question with fewer than
-    ``k`` such chunks is filled up with score 0 from its paper's first chunks, of
-    which ``k`` suffice.
+
+def needed_blocks(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """question_id, paper_id, bucket, impact of the blocks in which one of the ``k`` best chunks may show up.
+
+    Within a bucket, blocks in order of impact tell a weight that ``k`` postings reach:
+    times the question's weight, a score that ``k`` chunks are known to have. Buckets whose
+    highest weights together stay below the best such score are not read: a chunk above
+    it shows up in another bucket. Of the others a block is needed if its highest weight,
+    with those of all the question's other buckets, can reach the score.
+    ``asked``: question_id, paper_id, bucket, q.
     """
+    listed = blocks.groupBy("paper_id", "bucket").agg(F.array_sort(F.collect_list(F.struct("impact", "n", "low", "high"))).alias("blocks"))
+    met = asked.join(listed, ["paper_id", "bucket"])  # at most IMPACTS entries a row
+
+    def reach(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("low"))
+        step = lambda acc, b: F.when(acc["n"] >= k, acc).otherwise(F.struct((acc["n"] + b["n"]).alias("n"), b["low"].alias("low")))
+        return F.aggregate(blocks, start, step, lambda acc: F.when(acc["n"] >= k, acc["low"]).otherwise(0.0))
+
+    rows = met.select(
+        "question_id", "paper_id", "bucket", "q", "blocks", (F.col("q") * reach(F.col("blocks"))).alias("_known"),
+        (F.col("q") * F.array_max(F.transform("blocks", lambda b: b["high"]))).alias("_most"),
+    )
+    whole = W.partitionBy("question_id", "paper_id")  # a question has as many rows as distinct words
+    upward = whole.orderBy("_most", "bucket").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_threshold", F.max("_known").over(whole)).withColumn("_others", F.sum("_most").over(whole) - F.col("_most"))
+    rows = rows.withColumn("_so_far", F.sum("_most").over(upward)).filter(F.col("_so_far") >= F.col("_threshold") - F.lit(1e-8))
+    wanted = F.filter("blocks", lambda b: F.col("q") * b["high"] + F.col("_others") >= F.col("_threshold") - F.lit(1e-8))
+    return rows.select("question_id", "paper_id", "bucket", F.explode(F.transform(wanted, lambda b: b["impact"])).alias("impact"))
 
-    def components(rows: DataFrame, key: str, weight: str) -> DataFrame:
-        pairs = F.explode(F.arrays_zip("buckets", "weights")).alias("z")
-        return rows.select(key, "paper_id", pairs).select(key, "paper_id", F.col("z.buckets").alias("bucket"), F.col("z.weights").alias(weight))
 
-    met = components(questions, "question_id", "q").join(components(chunks, "chunk_id", "c"), ["paper_id", "bucket"])
-    scored = met.groupBy("question_id", "paper_id", "chunk_id").agg(F.round(F.sum(F.col("q") * F.col("c")), SCORE_DIGITS).alias("score"))
+def sparse_nearest(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """V-04: the ``k`` best chunks of each question's paper, whatever their score.
+
+    ``questions`` and ``chunks`` hold (id, paper_id, buckets, weights). Postings lie
+    in blocks of like impact; a question reads only the blocks that can hold one of
+    its ``k`` best, and the chunks found there are scored whole, on their own
+    vectors. Large blocks are spread over parts. A question with fewer than ``k``
+    such chunks is filled up with score 0 from its paper's first chunks, of which
+    ``k`` suffice.
+    """
+    posted = postings(chunks, "chunk_id", "c").withColumn("impact", impact_class(F.col("c")))
+    keys = ["paper_id", "bucket", "impact"]
+    blocks = reliable(posting_blocks(posted))
+    hot = blocks.filter(F.col("n") > HOT_POSTINGS).orderBy(F.desc("n"), *keys).limit(HOT_BLOCKS).select(*keys, F.lit(True).alias("_hot"))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64("chunk_id"), F.lit(POSTING_PARTS)).cast("int")).otherwise(F.lit(0))
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(POSTING_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    needed = needed_blocks(postings(questions, "question_id", "q"), blocks, k)
+    needed = needed.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    spread = posted.drop("c").join(F.broadcast(hot), keys, "left").withColumn("_part", part).drop("_hot")
+    found = needed.join(spread, [*keys, "_part"]).select("question_id", "paper_id", "chunk_id").distinct()
+    vectors = chunks.select("chunk_id", "paper_id", F.map_from_arrays("buckets", "weights").alias("_c"))
+    texts = questions.select("question_id", "paper_id", F.arrays_zip("buckets", "weights").alias("_q"))
+    both = found.join(vectors, ["chunk_id", "paper_id"]).join(texts, ["question_id", "paper_id"])
+    dot = F.aggregate("_q", F.lit(0.0), lambda acc, z: acc + z["weights"] * F.coalesce(F.try_element_at(F.col("_c"), z["buckets"]), F.lit(0.0)))
+    scored = both.select("question_id", "paper_id", "chunk_id", F.round(dot, SCORE_DIGITS).alias("score"))
     order = [F.desc("score"), F.col("chunk_id")]
     best = top_per_key(scored, ["question_id"], order, k, "rank").drop("rank")
     first = top_per_key(chunks.select("paper_id", "chunk_id"), ["paper_id"], [F.col("chunk_id")], k, "_n").drop("_n")
