@@ -586,14 +586,29 @@ def degraded_tally(spark, sf):
     return J.degraded_tally(_stages(spark, sf))
 
 
-@register("jobs_upsert_snapshot", with_views("stage_events") + """
-  , old as (select concat(user_id, '-20240101') as job_id, count(*)::int as n from events group by 1),
-  new as (select job_id, count(*)::int as n from stage_events group by 1)
-  select coalesce(o.job_id, w.job_id) as job_id, coalesce(w.n, o.n) as n from old o full join new w using (job_id)""")
+# the stored snapshot knows the mornings, the new one the whole log and the stages of the afternoons
+
+
+@register("jobs_upsert_snapshot", with_views("stage_events") + """,
+  halves as (select *, hour(ts) >= 12 as late from stage_events),
+  last as (select * from halves qualify row_number() over (partition by job_id, late, stage order by ts desc, event_id desc) = 1),
+  stages as (select job_id, stage, arg_max(status, late) as status, bool_or(not late) as known from last group by 1, 2),
+  listed as (select job_id, string_agg(stage || '=' || status, ', ' order by not known, stage) as stages from stages group by 1),
+  logs as (select job_id, count(*)::int as n, string_agg(event_id::varchar, ',' order by late, ts, event_id) as log from halves group by 1)
+  select job_id, n, stages, log from listed join logs using (job_id)""")
 def upsert_snapshot(spark, sf):
-    old = V.table(spark, sf, "events").groupBy(F.concat("user_id", F.lit("-20240101")).alias("job_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    new = V.stage_events(spark, sf).groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return M.upsert(old, new, ["job_id"])
+    events = V.stage_events(spark, sf).withColumn("late", F.hour("ts") >= 12)
+
+    def snapshot(rows, logged):
+        last = J.latest_stage_status(rows).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("stage", "status"))).alias("stages"))
+        log = logged.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("log"))
+        return log.join(last, "job_id", "left").select("job_id", "n", "stages", "log")
+
+    merged = M.upsert_job_snapshots(snapshot(events.filter("not late"), events.filter("not late")), snapshot(events.filter("late"), events))
+    return merged.select(
+        "job_id", "n", F.array_join(F.transform("stages", lambda s: F.concat(s["stage"], F.lit("="), s["status"])), ", ").alias("stages"),
+        F.array_join(F.transform("log", lambda e: e["event_id"].cast("string")), ",").alias("log"),
+    )
 
 
 # --- chapters -----------------------------------------------------------------------

@@ -30,6 +30,30 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], columns: list[s
     return joined.select(*keys, *take)
 
 
+def _named_once(old: Column, new: Column, name: str) -> Column:
+    """``old`` with each entry replaced by its namesake in ``new``, then the entries that only ``new`` has."""
+    own = lambda s: F.try_element_at(F.filter(new, lambda n: n[name] == s[name]), F.lit(1))
+    return F.concat(
+        F.transform(old, lambda s: F.coalesce(own(s), s)), F.filter(new, lambda n: ~F.exists(old, lambda s: s[name] == n[name]))
+    )
+
+
+def upsert_job_snapshots(base: DataFrame, changes: DataFrame, stage_name: str = "stage") -> DataFrame:
+    """S-22: job snapshots with their ``stages`` and ``log`` arrays merged, other columns as in ``upsert``.
+
+    A stage of the change replaces the stored stage of its name or is appended; log
+    entries are appended unless they are there. Both tables hold one row per ``job_id``,
+    with one array of seven stages at most and one log, which are the row itself.
+    """
+    stored = base.select("job_id", F.col("stages").alias("_stages"), F.col("log").alias("_log"))
+    both = changes.join(stored, "job_id", "left")
+    for column in ("stages", "log"):
+        empty = F.array().cast(base.schema[column].dataType)
+        both = both.withColumn(column, F.coalesce(column, empty)).withColumn(f"_{column}", F.coalesce(f"_{column}", empty))
+    merged = both.withColumn("stages", _named_once(F.col("_stages"), F.col("stages"), stage_name))
+    return upsert(base, merged.withColumn("log", F.array_union("_log", "log")).drop("_stages", "_log"), ["job_id"])
+
+
 def upsert_reports(base: DataFrame, changes: DataFrame) -> DataFrame:
     """S-10: one report per paper, and one per paper and chapter; the whole-paper report has no chapter."""
     own = F.coalesce(F.col("chapter").cast("bigint"), F.lit(-1).cast("bigint"))
