@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from marginalia.catalog import all_queries
+from marginalia.sources.views import SCAN_PARTITIONS
 
 HEADLINE = [
     "study_session_queue",
@@ -33,6 +34,10 @@ HEADLINE = [
     "jobs_state",
     "report_source_pool",
     "deck_interleaved",
+    "report_section_drafts",
+    "deck_build",
+    "quiz_build",
+    "chat_answer_context",
 ]
 
 
@@ -44,6 +49,7 @@ def main() -> None:
         .appName("marginalia-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config(SCAN_PARTITIONS, cpus)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

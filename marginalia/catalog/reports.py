@@ -575,3 +575,13 @@ def answer_context(spark, sf):
 def draft_answers(spark, sf):
     asked = CH.content_questions(_asked(spark, sf))
     return CH.draft_answers(asked, CH.answer_context(asked, V.passages(spark, sf)))
+
+
+@register("chat_answers")
+def answers(spark, sf):
+    passages = V.passages(spark, sf)
+    media = passages.selectExpr(
+        "paper_id", "chunk_id as media_id", "ordinal as position", "page",
+        "case when ordinal % 2 = 0 then concat('Figure ', ordinal + 1) else concat('Table ', ordinal + 1) end as label", "text as caption",
+    )
+    return CH.answers(CH.content_questions(_asked(spark, sf)), passages, media)

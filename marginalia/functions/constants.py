@@ -229,6 +229,8 @@ MIN_BACK_CHARS, MAX_BACK_CHARS, MAX_FRONT_CHARS = 20, 320, 240
 MAX_CHAPTERS = 300
 CHAPTER_BUCKET_PAGES = 10
 MAX_UPLOAD_BYTES = 512 * 1024 * 1024
+# fixed value: what a study question without a passage is answered with
+UNANSWERED_QUESTION = "No grounded passage was retrieved to answer this yet."
 CITATION_MATCH_FLOOR = 0.4
 WORDS_PER_MINUTE = 200
 

@@ -518,7 +518,15 @@ def relevant_figures(questions: DataFrame, media: DataFrame, used_pages: DataFra
         long_words(F.col("caption")).alias("m_words"),
     )
     used = used_pages.distinct().withColumn("used", F.lit(True))
-    pairs = q.join(m, "paper_id").join(used, ["question_id", "page"], "left")
+    # a pair scores only by a number, a page or a word that both name, so each of them is an equi-join
+    by_number = q.select("question_id", "paper_id", F.explode("asked").alias("number")).join(m, ["paper_id", "number"])
+    by_page = q.select("question_id", "paper_id").join(used, "question_id").join(m, ["paper_id", "page"])
+    by_word = q.select("question_id", "paper_id", F.explode("q_words").alias("_w")).join(
+        m.select("paper_id", "media_id", F.explode("m_words").alias("_w")), ["paper_id", "_w"]
+    )
+    met = [rows.select("question_id", "paper_id", "media_id") for rows in (by_number, by_page, by_word)]
+    found = met[0].unionByName(met[1]).unionByName(met[2]).distinct()
+    pairs = found.join(q, ["question_id", "paper_id"]).join(m, ["paper_id", "media_id"]).join(used, ["question_id", "page"], "left")
     score = (
         F.when(F.array_contains("asked", F.col("number")), 10).otherwise(0)
         + F.when(F.col("used"), 3).otherwise(0)

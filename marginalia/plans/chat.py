@@ -9,7 +9,7 @@ from ..functions.citations import intent
 from ..functions.text import clean_snippet, once
 from ..operators import clean as N
 from ..operators import retrieval as R
-from ..operators.skew import first_per_key
+from ..operators.skew import first_per_key, reliable
 
 TOP_K = 6
 OVERFETCH = 4
@@ -51,3 +51,21 @@ def draft_answers(questions: DataFrame, context: DataFrame) -> DataFrame:
 def used_pages(context: DataFrame, chunks: DataFrame) -> DataFrame:
     pages = first_per_key(chunks.select("chunk_id", "page"), ["chunk_id"], [F.col("page")])
     return context.join(pages, "chunk_id").select("question_id", "page").distinct()
+
+
+def answers(questions: DataFrame, chunks: DataFrame, media: DataFrame, top_k: int = TOP_K) -> DataFrame:
+    """V-12, V-13, V-16: the draft of every question with the chunks it rests on and the figures that belong to it.
+
+    ``media`` as in ``relevant_figures``. At most ``top_k`` chunk ids and three figures a question.
+    """
+    context = reliable(answer_context(questions, chunks, top_k))
+    cited = context.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))).alias("cited"))
+    shown = R.relevant_figures(questions, media, used_pages(context, chunks))
+    figures = shown.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "media_id"))).alias("figures"))
+    rows = draft_answers(questions, context).join(cited, "question_id", "left").join(figures, "question_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "question_id", "paper_id", "draft",
+        F.coalesce(R.grounding_ids(F.col("cited"), none), none).alias("chunk_ids"),
+        F.coalesce(F.transform("figures", lambda f: f["media_id"]), none).alias("figures"),
+    )

@@ -16,8 +16,16 @@ from ..operators.skew import first_per_key
 AS_OF = "2024-01-30 23:59:59"
 
 
+SCAN_PARTITIONS = "spark.marginalia.scanPartitions"
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table. Where ``SCAN_PARTITIONS`` is set, text tables are dealt out to that many partitions: a file with one
+    row group is read by one task, whatever the rules that follow cost."""
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    parts = spark.conf.get(SCAN_PARTITIONS, None)
+    return rows.repartition(int(parts), TEXT_TABLES[name]) if parts and name in TEXT_TABLES else rows
 
 
 # --- study ---------------------------------------------------------------------
