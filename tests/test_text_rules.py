@@ -1,5 +1,8 @@
 """Literal rows for every text rule."""
 
+import sys
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from marginalia.functions import citations as C
@@ -174,3 +177,14 @@ def test_card_plans_compile(spark, sf, capfd):
     for name in ("cards_definitions", "cards_cloze", "cards_recall"):
         all_queries()[name](spark, sf).write.format("noop").mode("overwrite").save()
     assert "grows beyond 64 KB" not in "".join(capfd.readouterr())
+
+
+def test_compatibility_fold_equals_the_standard(spark):
+    """Every character that the fold changes, every composed letter taken apart, and what surrounds them."""
+    codes = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    changed = [c for c in codes if unicodedata.normalize("NFKC", c) != c]
+    apart = [unicodedata.normalize("NFD", c) for c in codes if 0xC0 <= ord(c) < 0x2000 and unicodedata.normalize("NFD", c) != c]
+    texts = [*changed, *apart, *codes[:3000], *codes[3000::97], *(f"a{c}b" for c in changed[::7]), "½ of ﬃ ㍿ Ǆ", "plain", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.f for r in rows.select("i", G.fold_compatibility(F.col("text")).alias("f")).collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != unicodedata.normalize("NFKC", t)] == []
