@@ -34,11 +34,11 @@ BUCKETS = 1 << 16  # a power of two
 FILL = 128
 ORDER = 2
 THRESHOLD = -100_000  # millionths of a nat per n-gram
-WINDOW = 8  # words of a repeated passage
+DOUBLINGS = 3  # a repeated passage has 2 ** 3 words
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 BROADCAST_IDS = 1_000_000  # a hash table of at most some 50 MB
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -52,12 +52,27 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def repeated_words(words: Column, width: int = WINDOW) -> Column:
-    """Number of words inside a ``width``-word window that occurs twice or more in the text.
+def hashes_of(words: Column) -> Column:
+    """A 32-bit hash of every word."""
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
 
-    Window hashes tell whether any window repeats; only then are the windows
+
+def combined(hashes: Column, offset: int, others: Column | None = None) -> Column:
+    """Each hash combined with the one of ``others`` (the same list) ``offset`` places on; shorter by ``offset``."""
+    others = hashes if others is None else others
+    count = F.greatest(F.size(others) - offset, F.lit(0))
+    return F.zip_with(
+        F.slice(hashes, F.lit(1), count), F.slice(others, F.lit(offset + 1), count), lambda a, b: (a * 40503 + b * 7919 + 1) % F.lit(1 << 32)
+    )
+
+
+def repeated_words(words: Column, hashes: Column, doublings: int = DOUBLINGS) -> Column:
+    """Number of words inside a window of 2 ** ``doublings`` words that occurs twice or more in the text.
+
+    Hashes of windows tell whether any window may repeat; only then are the windows
     themselves sorted, so that equal ones are neighbours and compared as text.
     """
+    width = 1 << doublings
     starts = F.sequence(F.lit(1), F.size(words) - width + 1)
 
     def covered(windows: Column) -> Column:
@@ -70,54 +85,61 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
             lambda acc: acc["n"],
         )
 
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width)))
-    windows = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i, width), " ").alias("w"), i.alias("i")))
-    repeats = bound(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    def doubled(offset: int):
+        return lambda h: combined(h, offset)
+
+    def text_at(w: Column, i: Column) -> Column:
+        return F.struct(F.array_join(F.slice(w, i, width), " ").alias("w"), i.alias("i"))
+
+    # a column named twice or in a lambda might be merged into it and computed again, so each is bound first
+    hashed = hashes
+    for k in range(doublings):
+        hashed = bound(hashed, doubled(1 << k))
+    windows = bound(words, lambda w: F.transform(starts, lambda i: text_at(w, i)))
+    repeats = bound(hashed, lambda h: F.size(F.array_distinct(h)) < F.size(h))
     none = F.lit(0).cast("long")
     return F.when(F.size(words) >= width, F.when(repeats, bound(F.sort_array(windows), covered)).otherwise(none)).otherwise(none)
 
 
-def base_columns(text: Column, words: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text and its words."""
+def base_columns(text: Column, words: Column, hashes: Column) -> dict[str, Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text, its words and their hashes."""
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     columns = {
         "n_words": F.size(words),
-        "word_chars": F.length(F.translate(text, "\t\n\x0b\f\r ", "")),
-        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
         "n_dup_lines": bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
-        "n_repeat_words": repeated_words(words),
+        "n_repeat_words": repeated_words(words, hashes),
     }
     return {name: column.cast("long") for name, column in columns.items()}
 
 
-def cells(words: Column, order: int = ORDER, buckets: int = BUCKETS) -> Column:
-    """The cell of every n-gram of order 1 to ``order``: 32-bit word hashes, combined and reduced."""
+def grams_of(hashes: Column, order: int = ORDER) -> Column:
+    """Hashes of all n-grams of order 1 to ``order``; a cell is the remainder by the number of cells."""
 
-    def grams(hashes: Column) -> Column:
-        grown, all_orders = hashes, [hashes]
-        for k in range(2, order + 1):
-            left = F.slice(grown, F.lit(1), F.greatest(F.size(hashes) - k + 1, F.lit(0)))
-            right = F.slice(hashes, F.lit(k), F.greatest(F.size(hashes) - k + 1, F.lit(0)))
-            grown = F.zip_with(left, right, lambda a, b: (a * 40503 + b * 7919 + 1) % F.lit(1 << 32))
+    def listed(h: Column) -> Column:
+        grown, all_orders = h, [h]
+        for k in range(1, order):
+            grown = combined(grown, k, h)
             all_orders.append(grown)
-        return F.transform(F.concat(*all_orders), lambda h: (h % buckets).cast("int"))
-
-    return bound(F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")), grams)
+        return F.concat(*all_orders)
 
-
-def _with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    slim = docs.select(docs[id_col].alias("_id"), text.alias("_text"))
-    return slim.withColumn("_words", words_of(F.col("_text")))
+    return bound(hashes, listed)
 
 
 def counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
     """cell, raw, target: n-grams of all documents and of the trusted ones; at most ``buckets`` rows."""
     ids = trusted.select(trusted[id_col].alias("_id")).filter(F.col("_id").isNotNull()).distinct().withColumn("_target", F.lit(1))
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = _with_words(docs, id_col, text_col).join(F.broadcast(ids) if few else ids, "_id", "left")
-    grams = rows.select(F.coalesce("_target", F.lit(0)).alias("_target"), F.explode(cells(F.col("_words"), order, buckets)).alias("cell"))
-    return grams.groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(ids) if few else ids, "_id", "left")
+    listed = grams_of(hashes_of(words_of(_plain(F.col("_text")))), order)
+    grams = rows.select(F.coalesce("_target", F.lit(0)).alias("_target"), F.explode(listed).alias("_gram"))
+    cell = (F.col("_gram") % buckets).cast("int").alias("cell")
+    return grams.groupBy(cell).agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
+
+
+def _plain(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
 
 
 def folded_size(grams: int, buckets: int = BUCKETS, fill: int = FILL) -> int:
@@ -152,14 +174,20 @@ def judge(
     raw, target = (n or 0 for n in counted.agg(F.sum("raw"), F.sum("target")).first())
     size = folded_size(raw, buckets)
     ratios = stored(weights(counted, size, raw, target), "quality-weights").scalar()
-    rows = _with_words(docs, id_col, text_col)
-    own = F.col("_words")
-    score = bound(F.col("_weights"), lambda w: F.aggregate("_cells", F.lit(0).cast("long"), lambda acc, c: acc + w[c]))
-    base = rows.select(
-        "_id", *[c.alias(n) for n, c in base_columns(F.col("_text"), own).items()], cells(own, order, size).alias("_cells")
-    )
-    with_ratios = base.select("*", ratios.alias("_weights"))  # merged with the next line: the array is never copied into a row
-    scored = with_ratios.select(*base.columns, F.size("_cells").cast("long").alias("n_grams"), score.alias("llr_micro"))
+    rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), ratios.alias("_weights"))
+
+    def score(weights: Column, grams: Column) -> Column:
+        return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc + weights[(g % size).cast("int")])
+
+    def measured(text: Column, words: Column, hashes: Column) -> Column:
+        columns = base_columns(text, words, hashes)
+        llr = bound(F.col("_weights"), lambda w: bound(grams_of(hashes, order), lambda g: F.struct(F.size(g).cast("long").alias("n"), score(w, g).alias("sum"))))
+        return F.struct(*[c.alias(n) for n, c in columns.items()], llr.alias("llr"))
+
+    # one expression for all measures of a text: its lists of words and n-grams are bound inside and never become columns
+    all_measures = bound(_plain(F.col("_text")), lambda t: bound(words_of(t), lambda w: bound(hashes_of(w), lambda h: measured(t, w, h))))
+    scored = rows.select("_id", all_measures.alias("_m")).select("_id", "_m.*")
+    scored = scored.select("*", F.col("llr.n").alias("n_grams"), F.col("llr.sum").alias("llr_micro"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     judged = scored.withColumn("base_failed", failed)
     verdict = ~F.col("base_failed") & (F.col("llr_micro") >= threshold * F.col("n_grams"))
