@@ -62,7 +62,7 @@ def combined(hashes: Column, offset: int, others: Column | None = None) -> Colum
     others = hashes if others is None else others
     count = F.greatest(F.size(others) - offset, F.lit(0))
     return F.zip_with(
-        F.slice(hashes, F.lit(1), count), F.slice(others, F.lit(offset + 1), count), lambda a, b: (a * 40503 + b * 7919 + 1) % F.lit(1 << 32)
+        F.slice(hashes, F.lit(1), count), F.slice(others, F.lit(offset + 1), count), lambda a, b: (a * 40503 + b * 7919 + 1).bitwiseAND(F.lit((1 << 32) - 1))
     )
 
 
@@ -134,7 +134,7 @@ def counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, orde
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(ids) if few else ids, "_id", "left")
     listed = grams_of(hashes_of(words_of(_plain(F.col("_text")))), order)
     grams = rows.select(F.coalesce("_target", F.lit(0)).alias("_target"), F.explode(listed).alias("_gram"))
-    cell = (F.col("_gram") % buckets).cast("int").alias("cell")
+    cell = F.col("_gram").bitwiseAND(F.lit(buckets - 1)).cast("int").alias("cell")
     return grams.groupBy(cell).agg(F.count(F.lit(1)).alias("raw"), F.sum("_target").alias("target"))
 
 
@@ -177,7 +177,7 @@ def judge(
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), ratios.alias("_weights"))
 
     def score(weights: Column, grams: Column) -> Column:
-        return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc + weights[(g % size).cast("int")])
+        return F.aggregate(grams, F.lit(0).cast("long"), lambda acc, g: acc + F.get(weights, g.bitwiseAND(F.lit(size - 1)).cast("int")))
 
     def measured(text: Column, words: Column, hashes: Column) -> Column:
         columns = base_columns(text, words, hashes)
