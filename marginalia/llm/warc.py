@@ -33,7 +33,16 @@ from .common import join_by_key, stored
 from .url_filter import split_url
 
 END = "\r\n"
-STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+STAMP = "yyyy-MM-dd'T'HH:mm:ssX"
+
+
+def utc_stamp(moment: Column) -> Column:
+    """WARC-Date of a moment, whatever the session's time zone."""
+    seconds = F.unix_seconds(moment)
+    clock = F.pmod(seconds, F.lit(86_400))
+    day = F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")).cast("string")
+    parts = [F.floor(clock / 3600), F.floor(clock / 60) % 60, clock % 60]
+    return F.when(moment.isNotNull(), F.format_string("%sT%02d:%02d:%02dZ", day, *[p.cast("int") for p in parts]))
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -72,10 +81,10 @@ def write(
         base32_sha1(payload).alias("_own"), F.octet_length(payload).alias("_bytes"),
     )
     same = F.col("_page").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    rows = rows.join(again, same, "left").withColumn("_key", url_key(F.col("_url")))
+    target = F.replace(F.replace("_url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    rows = rows.join(again, same, "left").withColumn("_target", target).withColumn("_key", url_key(F.col("_target")))
     revisit = F.col("_digest").isNotNull()
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("_bytes"), F.lit(END + END))
-    target = F.replace(F.replace("_url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     name = lambda page: F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
     line = lambda field, value: F.coalesce(F.concat(F.lit(f"{field}: "), value, F.lit(END)), F.lit(""))
     block = F.when(revisit, F.octet_length(head)).otherwise(F.octet_length(head) + F.col("_bytes"))
@@ -83,8 +92,8 @@ def write(
         F.lit(f"WARC/1.1{END}"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.coalesce(name(F.col("_page")), F.concat(F.lit("<urn:unnamed:"), F.expr("uuid()"), F.lit(">")))),
-        line("WARC-Date", F.date_format("_time", STAMP)),
-        line("WARC-Target-URI", target),
+        line("WARC-Date", utc_stamp(F.col("_time"))),
+        line("WARC-Target-URI", F.col("_target")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_own"))),
         line("WARC-Refers-To", F.when(revisit, name(F.col("_first")))),
         F.when(revisit, F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{END}")).otherwise(F.lit("")),

@@ -72,3 +72,27 @@ def test_a_long_history_spreads_over_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     keys = [(r["url_key"], r["captured_at"], r["page"]) for r in got]
     assert keys == sorted(keys) and len(keys) == 500 and len({r["run"] for r in got}) > 1
+
+
+def test_histories_are_in_order_of_the_encoded_url(spark):
+    rows = [(1, "http://t/\r\nz", "a"), (2, "http://t/!a", "b"), (3, "http://t/%0Aq", "c")]
+    _, got = archive(spark, rows, parts=1)
+    keys = [r["url_key"] for r in got]
+    assert keys == sorted(keys) and len(keys) == 3
+
+
+def test_dates_are_utc_in_any_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        pages = spark.createDataFrame([(1, "http://a/", "x"), (2, "http://b/", "y")], "page_id long, url string, html string")
+        moments = {1: 1_600_000_000, 2: 1_615_703_400}  # the second: 02:30 New York time that the clocks skip, read as UTC 06:30
+        clock = F.timestamp_seconds(F.when(F.col("page_id") == 1, moments[1]).otherwise(moments[2]))
+        folder = new_folder(spark, "test-warc-zone")
+        warc.write(pages, folder, clock)
+        written = "".join(r["value"] for r in spark.read.text(f"{folder}/part-*").filter("value like '%WARC-Date%'").collect())
+        assert "2020-09-13T12:26:40Z" in written and "2021-03-14T06:30:00Z" in written
+        back = warc.merge(warc.read(spark, folder)).select("page", F.unix_seconds("captured_at").alias("s")).collect()
+        assert {r["page"]: r["s"] for r in back} == moments
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
