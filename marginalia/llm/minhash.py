@@ -260,9 +260,14 @@ def _judged(
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id, n_shingles, component_id, kept of every row; options as in ``_judged``."""
+    """id, n_shingles, component_id, kept of every row; options as in ``_judged``.
+
+    ``kept`` says that the id is its component's; where it names two texts of the component, both say so,
+    and only ``keep_one`` chooses between them.
+    """
     judged = _judged(docs, id_col, text_col, **options)
-    return judged.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+    own = F.col("_id").eqNullSafe(F.col("component_id"))
+    return judged.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", own.alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -118,3 +118,12 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(bytes([0, i]), bytes([0, i + 1])) for i in range(60)] + [(b"\x09\x01", b"\x09\x02")], "a binary, b binary")
     roots = {bytes(r["node"]): bytes(r["root"]) for r in minhash.components(edges).collect()}
     assert len(roots) == 63 and {roots[bytes([0, i])] for i in range(61)} == {b"\x00\x00"} and roots[b"\x09\x02"] == b"\x09\x01"
+
+
+def test_kept_is_the_components_own_id(spark):
+    """An id that names two texts of its component is that component's in both rows; the survivor is one row."""
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, words), (7, words + " more"), (9, words)]
+    out = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out) == [(7, 7, True), (7, 7, True), (9, 7, False)]
+    assert minhash.keep_one(docs(spark, rows)).count() == 1
