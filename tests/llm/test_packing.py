@@ -8,7 +8,7 @@ from marginalia.llm.common import new_folder
 from marginalia.llm.tokens import Encoder, vocabulary_path
 
 TEXTS = [
-    "", " ", "plain words here", "two  spaces", " lead", "trail ", "tab\tand\nline\n\nend", "a\n b", "x <|endoftext|> y", "don't stop'll",
+    "", " ", "plain words here", "two  spaces", " lead", "trail ", "tab\tand\nline\n\nend", "a\n b", "x <|endoftext|> y", "<|endoftext|><|endoftext|>", "a<|endoftext|>b <|endoftext", "don't stop'll",
     "naïve Über 中文 text 😀 emoji", "word " * 500, "a" * 3000, "1234 5678\u00a0nbsp", "mixed \r\n ends", "\x1c odd \x1f", "a \u2003 b",
 ]
 
@@ -18,7 +18,6 @@ def reference():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
