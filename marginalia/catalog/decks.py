@@ -243,6 +243,14 @@ def deck_from_report(spark, sf):
     return D.build_deck(candidates, _known(spark, sf), 20)
 
 
+@register("deck_build_whole")
+def whole_deck(spark, sf):
+    papers = V.table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.lit("").alias("title"), F.col("text").alias("abstract"))
+    bodies = _bodies(spark, sf).withColumn("paper_id", F.floor(F.col("paper_id") / 100000).cast("bigint"))
+    pool = RP.rotated_pool(V.passages(spark, sf))
+    return D.build_whole_deck(_paper_sections(bodies), _paper_citations(spark, sf), pool, papers, _known(spark, sf), 20)
+
+
 # --- quizzes ----------------------------------------------------------------------
 
 

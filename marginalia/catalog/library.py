@@ -311,12 +311,12 @@ def library_newest(spark, sf):
 
 @register(
     "library_search_hits",
-    """select page_id as paper_id, coalesce(d.title, url) as title, coalesce(d.status, 'queued') as status, d.doc_id is not null as in_library, coalesce(d.ingested, false) as ingested
-     from pages left join (select doc_id, concat('stored ', doc_id) as title, 'ready' as status, n_chars > 1000 as ingested from documents where lang = 'en') d on d.doc_id = page_id""",
+    """select page_id * 7 as paper_id, coalesce(d.title, url) as title, coalesce(d.status, 'queued') as status, d.doc_id is not null as in_library, coalesce(d.ingested, false) as ingested
+     from pages left join (select doc_id, concat('stored ', doc_id) as title, 'ready' as status, n_chars > 1000 as ingested from documents) d on d.doc_id = page_id * 7""",
 )
 def search_hits(spark, sf):
-    hits = V.table(spark, sf, "pages").selectExpr("page_id as paper_id", "url as title", "'queued' as status")
-    stored = V.table(spark, sf, "documents").filter("lang = 'en'").selectExpr(
+    hits = V.table(spark, sf, "pages").selectExpr("page_id * 7 as paper_id", "url as title", "'queued' as status")  # some are not in the library
+    stored = V.table(spark, sf, "documents").selectExpr(
         "doc_id as paper_id", "concat('stored ', doc_id) as title", "'ready' as status", "n_chars > 1000 as ingested"
     )
     return B.merge_search_hits(hits, stored)

@@ -75,6 +75,8 @@ def merge_search_hits(hits: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def citation_record(papers: DataFrame) -> DataFrame:
+    """The record that styles are written from; a stored ``abs_url`` comes before the address made of the article id."""
+    stored = F.col("abs_url") if "abs_url" in papers.columns else F.lit(None).cast("string")
     upload = F.col("article_id").startswith("upload:") | (F.col("article_label") == "Uploaded PDF")
     return papers.select(
         "paper_id",
@@ -83,7 +85,7 @@ def citation_record(papers: DataFrame) -> DataFrame:
             name_parts(F.col("authors")).alias("names"),
             F.year("published").alias("year"),
             F.col("article_id"),
-            article_url(upload, F.lit(None).cast("string"), F.col("article_id")).alias("url"),
+            article_url(upload, stored, F.col("article_id")).alias("url"),
             upload.alias("upload"),
         ).alias("paper"),
     )

@@ -274,3 +274,47 @@ def test_interleave_takes_turns(spark):
     df = spark.createDataFrame(rows, "paper_id int, bucket int, place int, origin string, front string, wide_front string, back string")
     out = deck.interleave(df.withColumn("seen_before", F.lit(False)), 5).orderBy("position").collect()
     assert [(r.bucket, r.place) for r in out] == [(1, 0), (2, 0), (3, 0), (1, 1), (3, 1)]
+
+
+def test_whole_deck_mixes_report_and_pool(spark):
+    sections = spark.createDataFrame(
+        [
+            (1, "Key Concepts", "**Span attention** — the share of the input that is in view at every step of the model [1]."),
+            (2, "Key Concepts", "The model reaches 37.5 points on the benchmark, which is more than all of the earlier systems reach."),
+        ],
+        "paper_id long, name string, body string",
+    )
+    cited = spark.createDataFrame([(1, "Key Concepts", 1, 1, "x", 4, "c4")], "paper_id long, name string, position int, marker int, snippet string, page int, chunk_id string")
+    pool = spark.createDataFrame(
+        [(1, "p1", 2, 0, "A gating unit is defined as the part of the network that decides which of its inputs are used."),
+         (4, "p9", 3, 0, "A gating unit is defined as the part of the network that decides which of its inputs are used.")],
+        "paper_id long, chunk_id string, page int, seq int, text string",
+    )
+    papers = spark.createDataFrame(
+        [(i, "", "This abstract says that the method needs 12 steps, far fewer than the 40 steps of the older methods.") for i in (1, 2, 3, 4)],
+        "paper_id long, title string, abstract string",
+    )
+    terms, facts = deck.term_cards(sections, cited), deck.report_candidates(sections, cited, 20).filter("bucket = 3")
+    assert [r.paper_id for r in terms.collect()] == [1]
+    assert [(r.paper_id, r.section) for r in facts.collect()] == [(2, "Key Concepts")]  # prose instead of terms
+    none = spark.createDataFrame([], "paper_id long, content_key string")
+    made = deck.build_whole_deck(sections, cited, pool.withColumn("rank", F.col("seq")), papers, none).collect()
+    by = {p: {r.section for r in made if r.paper_id == p} for p in (1, 2, 3)}
+    assert len([r for r in made if r.paper_id == 1]) >= 2 and "Key Concepts" in by[1] and by[3] == {"Overview"}
+
+
+def test_an_unanswered_study_question_keeps_its_row(spark, sf):
+    titles = spark.createDataFrame([(-5, "No passages")], "paper_id long, title string")
+    rows = report.study_questions(report.plan_outline(views.passages(spark, sf)), titles).collect()
+    assert [r.number for r in sorted(rows, key=lambda r: r.number)] == list(range(1, len(rows) + 1)) and rows
+    assert {r.answer for r in rows} == {K.UNANSWERED_QUESTION} and {r.chunk_id for r in rows} == {None}
+
+
+def test_a_stored_address_comes_first(spark):
+    from marginalia.operators import library
+
+    rows = [(1, "2401.00001", "arXiv", "https://own.example/a", "T", ["A B"]), (2, "2401.00002", "arXiv", "", "T", ["A B"])]
+    papers = spark.createDataFrame(rows, "paper_id int, article_id string, article_label string, abs_url string, title string, authors array<string>")
+    papers = papers.withColumn("published", F.lit(None).cast("date"))
+    got = {r.paper_id: r.paper.url for r in library.citation_record(papers).collect()}
+    assert got == {1: "https://own.example/a", 2: "https://arxiv.org/abs/2401.00002"}
