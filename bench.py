@@ -34,10 +34,6 @@ HEADLINE = [
     "jobs_state",
     "report_source_pool",
     "deck_interleaved",
-    "report_section_drafts",
-    "deck_build",
-    "quiz_build",
-    "chat_answer_context",
 ]
 
 
