@@ -337,6 +337,58 @@ def typed_rows(spark, sf):
     return B.paper_rows(raw).withColumn("authors", F.array_join("authors", ","))
 
 
+@register(
+    "library_typed_jobs",
+    """select doc_id as job_id, case doc_id % 5 when 0 then 'queued' when 1 then 'running' when 2 then 'done' when 3 then 'error' end as state,
+      case when doc_id % 7 > 0 then 'OCR' end as current_stage, (doc_id % 110)::int as percent,
+      case when doc_id % 11 > 0 then concat('Download=', case when doc_id % 3 = 0 then 'pending' else 'done' end, '/', lang, '/', case when doc_id % 2 = 0 then 'true' else 'false' end,
+        case when doc_id % 13 > 0 then ', Embedding=error/-/false' else ', -=error/-/false' end) else '' end as stages,
+      concat('12:00:00 ', source, ' OCR') as log,
+      doc_id % 5 < 4 and doc_id % 110 <= 100 and (doc_id % 13 > 0 or doc_id % 11 = 0) as valid from documents""",
+)
+def typed_jobs(spark, sf):
+    raw = V.table(spark, sf, "documents").selectExpr(
+        "doc_id as job_id", "doc_id as paper_id", "element_at(array('queued', 'running', 'done', 'error', 'lost'), int(doc_id % 5) + 1) as state",
+        "if(doc_id % 7 > 0, 'OCR', null) as current_stage", "doc_id % 110 as percent",
+        """if(doc_id % 11 > 0, concat('[{"stage":"Download"', if(doc_id % 3 = 0, '', ',"status":"done"'), ',"detail":"', lang, '"', if(doc_id % 2 = 0, ',"degraded":true', ''),
+           '},{"stage":"', if(doc_id % 13 > 0, 'Embedding', 'Unheard of'), '","status":"error"}]'), 'broken') as stages""",
+        """concat('[{"t":"12:00:00","m":"', source, '","stage":"OCR"}]') as log""", "cast(null as string) as error_message",
+    )
+    gap = lambda c: F.coalesce(c, F.lit("-"))
+    stages = F.transform("stages", lambda s: F.concat(gap(s["stage"]), F.lit("="), s["status"], F.lit("/"), gap(s["detail"]), F.lit("/"), s["degraded"].cast("string")))
+    return B.job_rows(raw).select(
+        "job_id", "state", "current_stage", "percent", F.array_join(stages, ", ").alias("stages"),
+        F.array_join(F.transform("log", lambda e: F.concat_ws(" ", e["t"], e["m"], e["stage"])), ", ").alias("log"),
+        "valid",
+    )
+
+
+@register(
+    "library_typed_questions",
+    """select doc_id as question_id, case when doc_id % 3 = 0 then '' else left(text, 40) end as prompt,
+      case doc_id % 4 when 1 then 'true_false' when 2 then 'short_answer' else 'multiple_choice' end as kind,
+      case doc_id % 5 when 1 then 'understand' when 2 then 'apply' else 'recall' end as difficulty,
+      case when doc_id % 6 = 0 then '' else concat('a=', lang, ', b=') end as options, case when doc_id % 2 = 0 then concat(lang, '|', source) else '' end as accepted,
+      case when doc_id % 3 = 1 then concat('Methods p', doc_id % 9, ' ', case when doc_id % 7 > 0 then source else '' end) end as citation from documents""",
+)
+def typed_questions(spark, sf):
+    raw = V.table(spark, sf, "documents").selectExpr(
+        "doc_id as question_id", "doc_id as quiz_id", "doc_id as paper_id", "doc_id % 10 as index", "if(doc_id % 3 = 0, null, left(text, 40)) as prompt",
+        "element_at(array('multiple_choice', 'true_false', 'short_answer', 'essay'), int(doc_id % 4) + 1) as kind",
+        "element_at(array('recall', 'understand', 'apply', null, 'hard'), int(doc_id % 5) + 1) as difficulty",
+        """if(doc_id % 6 = 0, null, concat('[{"id":"a","text":"', lang, '"},"stray",7,{"id":"b"}]')) as options""",
+        "'a' as correct_option_id", "cast(null as string) as correct_answer_text",
+        """if(doc_id % 2 = 0, concat('["', lang, '","', source, '"]'), '{') as accepted_answers""", "cast(null as string) as explanation",
+        "case doc_id % 3 when 1 then 'Methods' when 2 then 'Errata' end as citation_section", "doc_id % 9 as citation_page",
+        "cast(doc_id as string) as citation_chunk_id", "if(doc_id % 7 > 0, source, null) as citation_snippet",
+    )
+    cited = F.concat(F.col("citation.section"), F.lit(" p"), F.col("citation.page").cast("string"), F.lit(" "), F.col("citation.snippet"))
+    return B.question_rows(raw).select(
+        "question_id", "prompt", "kind", "difficulty", F.array_join(F.transform("options", lambda o: F.concat(o["id"], F.lit("="), o["text"])), ", ").alias("options"),
+        F.array_join("accepted_answers", "|").alias("accepted"), cited.alias("citation"),
+    )
+
+
 FEED = """select doc_id, named_struct('id', concat('http://host.example/abs/24', lpad(cast(doc_id % 12 + 1 as string), 2, '0'), '.', lpad(cast(doc_id % 100000 as string), 5, '0'), 'v', doc_id % 3 + 1),
  'title', concat('  A  study ', doc_id, '\\n of things '), 'summary', text, 'published', if(doc_id % 5 = 0, 'bad', '2024-01-05T00:00:00Z'), 'updated', '2024-02-06',
  'author', array(named_struct('name', ' Ada '), named_struct('name', ''), named_struct('name', lang)),

@@ -127,11 +127,14 @@ CITED_TEXT = "case when ordinal % 3 = 0 then text else concat(text, ' See [', or
     "cite_positional",
     with_views("passages") + f""",
   texts as (select paper_id * 100000 + page as report_id, ordinal as k, {CITED_TEXT} as text from passages),
-  chunks as (select paper_id * 100000 + page as report_id, row_number() over (partition by paper_id, page order by ordinal)::int as position, chunk_id, paper_id, page, section_label, text from passages),
+  chunks as (select paper_id * 100000 + page as report_id, row_number() over (partition by paper_id, page order by ordinal)::int as position, chunk_id, paper_id, page,
+    case when ordinal % 4 > 0 then section_label end as section_label, case when ordinal % 4 > 0 then concat('p. ', page, ' top') end as page_label,
+    case when ordinal % 3 > 0 then concat_ws(',', ordinal % 50, 7, ordinal % 50 + 90, 40) end as bbox, text from passages),
   sizes as (select report_id, max(position) as n from chunks group by 1),
   marked as (select t.report_id, k, n, list_distinct(list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: x::int)) as ms from texts t join sizes using (report_id)),
   spread as (select report_id, k, n, unnest(case when len(ms) > 0 then ms else range(1, least(n, 5) + 1)::int[] end) as marker from marked)
-  select s.report_id, k, marker, chunk_id, page, section_label as source, concat('page ', page) as page_label, concat(paper_id, '/pages/p', page, '.png') as page_image_path,
+  select s.report_id, k, marker, chunk_id, page, coalesce(section_label, concat('Page ', page)) as source,
+    coalesce(page_label, concat('page ', page)) as page_label, bbox, concat(paper_id, '/pages/p', page, '.png') as page_image_path,
     coalesce(nullif({X.shorten('text', 280, 0.4)}, ''), '(no text available for this source)') as snippet
   from spread s join chunks c on c.report_id = s.report_id and c.position = (marker - 1) % n + 1 where marker >= 1""",
 )
@@ -141,10 +144,15 @@ def cite_positional(spark, sf):
     rows = V.passages(spark, sf).withColumn("report_id", F.expr("paper_id * 100000 + page"))
     texts = rows.select("report_id", F.col("ordinal").alias("k"), F.expr(CITED_TEXT).alias("text"))
     position = F.row_number().over(W.partitionBy("paper_id", "page").orderBy("ordinal"))
-    chunks = rows.select("report_id", position.alias("position"), "chunk_id", "paper_id", "page", "section_label", "text")
+    chunks = rows.select(
+        "report_id", position.alias("position"), "chunk_id", "paper_id", "page", "text", F.expr("if(ordinal % 4 > 0, section_label, null)").alias("section_label"),
+        F.expr("if(ordinal % 4 > 0, concat('p. ', page, ' top'), null)").alias("page_label"),
+        F.expr("if(ordinal % 3 > 0, array(ordinal % 50, 7, ordinal % 50 + 90, 40), null)").cast("array<double>").alias("bbox"),
+    )
     # every text of a page cites that page's chunks
     per_text = texts.select("report_id", "k").join(chunks, "report_id")
-    return P.cite(texts, per_text, ["report_id", "k"])
+    out = P.cite(texts, per_text, ["report_id", "k"])
+    return out.withColumn("bbox", F.array_join(F.col("bbox").cast("array<int>"), ","))
 
 
 @register(

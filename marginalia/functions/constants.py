@@ -148,6 +148,8 @@ STUDY_QUESTION_PLAN = [
 
 STAGE_ORDER = ["Download", "Extract text", "Extract images", "OCR", "Vision analysis", "Embedding", "Generate report"]
 FATAL_STAGES = ["Download", "Extract text", "Embedding"]
+STAGE_STATUSES = ["pending", "running", "done", "error"]
+JOB_STATES = ["queued", "running", "done", "error"]
 
 # --- ratings ---------------------------------------------------------------
 

@@ -200,3 +200,65 @@ def paper_rows(raw: DataFrame) -> DataFrame:
         F.when(F.col("status").isin("queued", "processing", "ready", "error"), F.col("status")).otherwise("queued").alias("status"),
         F.coalesce("ingested", F.lit(False)).alias("ingested"),
     )
+
+
+def _listed(json: Column, kind: str) -> Column:
+    return F.coalesce(F.from_json(json, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+
+
+def _known(value: Column, names: list[str]) -> Column:
+    return F.when(value.isin(names), value)
+
+
+def job_rows(raw: DataFrame) -> DataFrame:
+    """S-23: stored job rows to typed ones, stages and log as arrays of structs.
+
+    A missing status is pending, a missing ``degraded`` false. A state, stage or
+    status outside its fixed names becomes null and the row is marked not ``valid``, as
+    is a percent outside 0 to 100; broken JSON gives empty arrays.
+    """
+    stages = F.transform(
+        _listed(F.col("stages"), "struct<stage:string,status:string,detail:string,degraded:boolean>"),
+        lambda s: F.struct(
+            _known(s["stage"], K.STAGE_ORDER).alias("stage"), _known(F.coalesce(s["status"], F.lit("pending")), K.STAGE_STATUSES).alias("status"),
+            s["detail"].alias("detail"), F.coalesce(s["degraded"], F.lit(False)).alias("degraded"),
+        ),
+    )
+    log = F.transform(
+        _listed(F.col("log"), "struct<t:string,m:string,stage:string>"),
+        lambda e: F.struct(e["t"].alias("t"), e["m"].alias("m"), _known(e["stage"], K.STAGE_ORDER).alias("stage")),
+    )
+    rows = raw.withColumn("_stages", stages).withColumn("_log", log)
+    named = F.forall("_stages", lambda s: s["stage"].isNotNull() & s["status"].isNotNull())
+    valid = (
+        F.col("state").isin(K.JOB_STATES) & F.col("percent").between(0, 100) & named
+        & (F.col("current_stage").isNull() | F.col("current_stage").isin(K.STAGE_ORDER))
+    )
+    return rows.select(
+        "job_id", "paper_id", _known(F.col("state"), K.JOB_STATES).alias("state"), _known(F.col("current_stage"), K.STAGE_ORDER).alias("current_stage"),
+        F.col("percent").cast("int").alias("percent"), F.col("_stages").alias("stages"), F.col("_log").alias("log"), "error_message",
+        F.coalesce(valid, F.lit(False)).alias("valid"),
+    )
+
+
+def question_rows(raw: DataFrame) -> DataFrame:
+    """S-23: stored question rows to typed ones, the answer key included.
+
+    An unknown kind becomes multiple choice, an unknown difficulty recall; only
+    objects count as options, their missing fields are empty texts. A question whose
+    citation names no section, or one outside the fixed eleven, has no citation.
+    """
+    objects = F.filter(_listed(F.col("options"), "string"), lambda o: o.startswith("{"))
+    field = lambda o, name: F.coalesce(F.get_json_object(o, f"$.{name}"), F.lit(""))
+    cited = F.struct(
+        F.col("citation_section").alias("section"), F.col("citation_page").cast("int").alias("page"), F.col("citation_chunk_id").alias("chunk_id"),
+        F.coalesce("citation_snippet", F.lit("")).alias("snippet"),
+    )
+    return raw.select(
+        "question_id", "quiz_id", "paper_id", F.col("index").cast("int").alias("index"), F.coalesce("prompt", F.lit("")).alias("prompt"),
+        F.coalesce(_known(F.col("kind"), K.QUESTION_KINDS), F.lit(K.QUESTION_KINDS[0])).alias("kind"),
+        F.coalesce(_known(F.col("difficulty"), K.DIFFICULTIES), F.lit(K.DIFFICULTIES[0])).alias("difficulty"),
+        F.transform(objects, lambda o: F.struct(field(o, "id").alias("id"), field(o, "text").alias("text"))).alias("options"),
+        "correct_option_id", "correct_answer_text", _listed(F.col("accepted_answers"), "string").alias("accepted_answers"),
+        F.coalesce("explanation", F.lit("")).alias("explanation"), F.when(F.col("citation_section").isin(K.SECTION_ORDER), cited).alias("citation"),
+    )

@@ -149,7 +149,8 @@ def cite(texts: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     """J-07: each ``[n]`` of a text to its n-th chunk; too large numbers wrap around.
 
     texts(keys, text), chunks(keys, position from 1, chunk_id, paper_id, page, section_label, text).
-    A text without markers cites its first five chunks.
+    A text without markers cites its first five chunks. Where the chunks hold a
+    ``page_label`` it is kept, like their ``bbox``; a missing label is made from the page.
     """
     sizes = chunks.groupBy(*keys).agg(F.max("position").alias("_size"))
     first_five = F.sequence(F.lit(1), F.least(F.col("_size"), F.lit(5)))
@@ -158,15 +159,19 @@ def cite(texts: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
         "marker", F.explode(F.when(F.size(found) > 0, found).otherwise(first_five))
     ).filter(F.col("marker") >= 1)
     placed = marked.withColumn("position", F.pmod(F.col("marker") - 1, F.col("_size")) + 1)
-    pages = chunks.select(*keys, "position", "chunk_id", "paper_id", "page", "section_label", F.col("text").alias("_text"))
+    stored_label = F.col("page_label") if "page_label" in chunks.columns else F.lit(None).cast("string")
+    box = [c for c in ["bbox"] if c in chunks.columns]
+    pages = chunks.select(
+        *keys, "position", "chunk_id", "paper_id", "page", "section_label", stored_label.alias("_label"), F.col("text").alias("_text"), *box
+    )
     snippet = F.coalesce(_filled(clean_snippet(F.col("_text"), 280)), F.lit("(no text available for this source)"))
-    page_label = F.concat(F.lit("page "), F.col("page"))
+    page_label = F.coalesce("_label", F.concat(F.lit("page "), F.col("page")))
     return placed.join(pages, [*keys, "position"]).select(
         *keys, "marker", "chunk_id", "page",
         F.coalesce("section_label", F.concat(F.lit("Page "), F.col("page"))).alias("source"),
         page_label.alias("page_label"),
         F.concat(F.col("paper_id"), F.lit("/pages/p"), F.col("page"), F.lit(".png")).alias("page_image_path"),
-        snippet.alias("snippet"),
+        snippet.alias("snippet"), *box,
     )
 
 
