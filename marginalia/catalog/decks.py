@@ -330,7 +330,18 @@ def numeric_questions(spark, sf):
     return Z.numeric_questions(_claims(spark, sf)).select("paper_id", "source_id", "kind", "prompt", "correct_option_id", "explanation")
 
 
-@register("quiz_distractors")
+@register(
+    "quiz_distractors",
+    with_views("passages") + "," + CLAIMS + f""",
+  placed as (select paper_id, no, source_id, {X.folded_set('body')} as ws, count(*) over (partition by paper_id) as n,
+    row_number() over (partition by paper_id order by sha1(concat_ws('|', paper_id, source_id)), no) as place from claims),
+  fitting as (select a.paper_id, a.source_id, b.no as other, (b.place - a.place + a.n) % a.n as step from placed a join placed b on a.paper_id = b.paper_id and a.no <> b.no
+    where case when len(a.ws) = 0 then 0.0 else len(list_intersect(a.ws, b.ws)) / len(a.ws) end < {K.NEAR_DUPLICATE_OVERLAP}
+      and case when len(b.ws) = 0 then 0.0 else len(list_intersect(a.ws, b.ws)) / len(b.ws) end < {K.NEAR_DUPLICATE_OVERLAP}),
+  three as (select * from fitting qualify row_number() over (partition by paper_id, source_id order by step) <= 3),
+  listed as (select paper_id, source_id, string_agg(concat('Term ', other), '|' order by step) as distractors from three group by 1, 2)
+  select paper_id, source_id, coalesce(distractors, '') as distractors from claims left join listed using (paper_id, source_id)""",
+)
 def distractors(spark, sf):
     rows = _claims(spark, sf).withColumn("term", F.concat(F.lit("Term "), "no"))
     out = Z.with_distractors(rows)

@@ -318,3 +318,22 @@ def test_a_stored_address_comes_first(spark):
     papers = papers.withColumn("published", F.lit(None).cast("date"))
     got = {r.paper_id: r.paper.url for r in library.citation_record(papers).collect()}
     assert got == {1: "https://own.example/a", 2: "https://arxiv.org/abs/2401.00002"}
+
+
+def test_distractors_are_the_next_fitting_ones_on_the_ring_whatever_the_rounds(spark):
+    import hashlib
+
+    body = lambda i: "shared words of one copied passage" if i % 3 else f"alpha{i} beta{i} gamma{i} delta{i}"
+    rows = [(p, i, f"s{i}", "Methods", body(i), f"Term {i}", "c") for p, n in ((1, 30), (2, 1), (3, 3)) for i in range(1, n + 1)]
+    sources = spark.createDataFrame(rows, "paper_id long, no long, source_id string, section string, body string, term string, chunk_id string")
+
+    def expected(paper):
+        ring = sorted((r for r in rows if r[0] == paper), key=lambda r: hashlib.sha1(f"{paper}|{r[2]}".encode()).hexdigest())
+        turned = {r[2]: ring[i + 1 :] + ring[:i] for i, r in enumerate(ring)}
+        return {(paper, s): [o[5] for o in others if not (o[1] % 3 and int(s[1:]) % 3)][:3] for s, others in turned.items()}
+
+    want = {k: v for paper in (1, 2, 3) for k, v in expected(paper).items()}
+    for rounds in ((None,), (2, 5, None), quiz.RING_ROUNDS):
+        out = quiz.with_distractors(sources, rounds).collect()
+        assert {(r["paper_id"], r["source_id"]): [o["term"] for o in r["others"]] for r in out} == want
+        assert {r["paper_id"]: r["definitions"] for r in out} == {1: 30, 2: 1, 3: 3}
