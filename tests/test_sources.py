@@ -168,3 +168,27 @@ def test_entry(spark):
     frame = entry(spark)
     assert frame.columns == ["position", "card_id", "strength", "last_reviewed_at", "paper_title", "paper_label"]
     assert frame.count() == 150
+
+
+def test_stored_job_and_question_rows_with_broken_fields(spark):
+    from marginalia.operators import library
+
+    jobs = spark.createDataFrame(
+        [("a", "running", "OCR", 40, '[{"stage":"OCR"}]', None), ("b", "lost", None, 140, "broken", "[]"), ("c", None, None, None, None, None)],
+        "job_id string, state string, current_stage string, percent int, stages string, log string",
+    ).selectExpr("*", "'p' as paper_id", "cast(null as string) as error_message")
+    got = {r["job_id"]: r for r in library.job_rows(jobs).collect()}
+    assert [tuple(s) for s in got["a"]["stages"]] == [("OCR", "pending", None, False)] and got["a"]["log"] == [] and got["a"]["valid"]
+    assert got["b"]["state"] is None and got["b"]["stages"] == [] and not got["b"]["valid"] and not got["c"]["valid"]
+
+    columns = "question_id quiz_id paper_id prompt kind difficulty options correct_option_id correct_answer_text accepted_answers explanation"
+    columns = f"{columns} citation_section citation_chunk_id citation_snippet".split()
+    stored = [
+        ["q", "z", "p", None, "essay", None, '["x", {"id": 1}, 3]', None, None, "{", None, "Errata", None, None],
+        ["r", "z", "p", "Why?", "true_false", "apply", None, "true", None, '["yes"]', "So.", "Methods", "c1", None],
+    ]
+    rows = spark.createDataFrame(stored, ", ".join(f"{c} string" for c in columns)).selectExpr("*", "0 as index", "3 as citation_page")
+    q, r = library.question_rows(rows).orderBy("question_id").collect()
+    assert (q["prompt"], q["kind"], q["difficulty"], q["accepted_answers"], q["citation"]) == ("", "multiple_choice", "recall", [], None)
+    assert [tuple(o) for o in q["options"]] == [("1", "")] and r["options"] == [] and r["accepted_answers"] == ["yes"]
+    assert tuple(r["citation"]) == ("Methods", 3, "c1", "") and (r["kind"], r["difficulty"]) == ("true_false", "apply")
