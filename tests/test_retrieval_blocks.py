@@ -127,3 +127,13 @@ def test_diversified_scan_equals_the_list_fold(spark):
             got = [r.chunk_id for r in sorted((r for r in out if r.paper_id == paper), key=lambda r: r.position)]
             assert got == _diverse_direct(own, limit)
             assert sorted(r.position for r in out if r.paper_id == paper) == list(range(len(got)))
+
+
+def test_few_citations_cross_no_shuffle_of_words(spark):
+    word = lambda i: "w" + chr(97 + i // 10) + chr(97 + i % 10)
+    cited = [(1, i, i, f"alpha beta {word(i)}", 1, f"c{i}") for i in range(1, 6)] + [(2, i, i, f"gamma {word(i)}", 1, f"d{i}") for i in range(1, 71)]
+    lines = [(1, 0, f"alpha beta {word(3)}"), (1, 1, "nothing here [2]"), (1, 2, "no match"), (2, 0, f"gamma {word(70)}")]
+    got = report.match_citations(spark.createDataFrame(lines, LINES), spark.createDataFrame(cited, CITED), ["paper_id"])
+    assert sorted((r.paper_id, r.line_no, r.chunk_id) for r in got.collect()) == [(1, 0, "c3"), (1, 1, "c2"), (2, 0, "d70")]
+    few = report.match_citations(spark.createDataFrame(lines[:3], LINES), spark.createDataFrame(cited[:5], CITED), ["paper_id"])
+    assert "Window" not in few._jdf.queryExecution().optimizedPlan().toString()  # no word is ranked, no pair is listed
