@@ -346,3 +346,17 @@ def test_header_with_capitals_beyond_ascii_is_removed(spark):
     rows = spark.createDataFrame([(1, f"c{i}", i, i, f"{header} {w} closes the page") for i, w in enumerate(["alpha", "beta", "gamma"])], "paper_id int, chunk_id string, page int, rank int, text string")
     got = [r.text for r in clean.strip_running_headers(rows, ["paper_id"]).orderBy("rank").collect()]
     assert got == ["alpha closes the page", "beta closes the page", "gamma closes the page"]
+
+
+def test_outline_and_pool_move_a_text_once(spark, sf):
+    """A text crosses one shuffle, however many queries find its chunk, and rows are marked as the joins would leave them."""
+    rows = views.passages(spark, sf)
+    swept = retrieval.sweep_by_chunk(rows, K.SWEEP_QUERIES, [3] * len(K.SWEEP_QUERIES))
+    want = retrieval.sweep(retrieval.with_hash_vector(rows), K.SWEEP_QUERIES, 3).select("chunk_id", "query_no", "rank").collect()
+    got = swept.select("chunk_id", F.explode("hits").alias("h")).select("chunk_id", "h.query_no", "h.rank").collect()
+    assert sorted(got) == sorted(want)
+    marked = clean.mark_narrative(swept.withColumn("rank", F.col("hits")[0]), ["paper_id"])
+    joined = clean.narrative_chunks(swept.withColumn("rank", F.col("hits")[0]), ["paper_id"], allow_fallback=False)
+    kept = marked.filter("clean is not null").select("chunk_id", "clean", "low_prose").collect()
+    assert sorted(kept) == sorted(tuple(r) for r in joined.select("chunk_id", "text", "low_prose").collect())
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
