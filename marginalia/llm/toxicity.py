@@ -10,9 +10,10 @@ A text's score compares the two log-likelihoods. Log-ratios of at most ``floor``
 count as equal, and the sum is divided by a power of the length; a logistic curve
 fitted on labelled rows that gave no counts turns it into 0 to 1.
 
-The models are fitted on at most about ``sample`` labelled rows, chosen by a hash
-of the id; that bound is what keeps the fitted table small enough to send to every
-task. Counting and smoothing are Spark aggregations; every text is scored whole.
+Every labelled row that is not held out takes part: three quarters, by a hash of the
+id, give the counts, the others the curve. Counting, smoothing and the steps of the
+curve are Spark aggregations; only the strong expressions, whose number follows the
+alphabet and not the rows, are sent to every task. Every text is scored whole.
 
 Defined cases: null and empty texts have a comparison of 0; labels that are null
 are ignored, a document labelled twice counts as toxic if any label says so;
@@ -34,7 +35,6 @@ from .common import stored
 from .shingles import mix
 
 ORDER = 4
-SAMPLE = 20_000  # labelled rows the models are fitted on, about
 DISCOUNT = 0.75
 FLOOR = 3.0
 POWER = 0.5  # of the length by which a comparison is divided
@@ -136,17 +136,23 @@ class Comparison:
         return float(self.values[at][self.grams[at] == grams_in].sum() / len(grams) ** self.power)
 
 
-def fit_curve(values: np.ndarray, toxic: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton steps with a small ridge."""
-    x = np.stack([values, np.ones_like(values)], 1)
+def fit_curve(rows: DataFrame, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve over (value, toxic), by Newton steps with a small ridge.
+
+    A step is one aggregation over all rows, of which five sums come back.
+    """
+    x, y = F.col("value"), F.col("toxic")
     w = np.zeros(2)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (toxic - p) - ridge * w)
+        line = F.lit(float(w[0])) * x + F.lit(float(w[1]))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))))
+        q = p * (1 - p)
+        xx, x1, one, gx, g1 = rows.agg(*[F.sum(c) for c in (x * x * q, x * q, q, x * (y - p), y - p)]).first()
+        step = np.linalg.solve(np.array([[xx, x1], [x1, one]]) + ridge * np.eye(2), np.array([gx, g1]) - ridge * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    return round(float(w[0]), 9), round(float(w[1]), 9)  # sums of floats depend on their order
 
 
 def _compare(sent, order: int, power: float):
@@ -162,9 +168,19 @@ def _compare(sent, order: int, power: float):
     return compare
 
 
+def labelled(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataFrame:
+    """(text, toxic, fold) of every row with a label that is not held out; rows of fold 0 give no counts."""
+    known = labels.filter(F.col("toxic").isNotNull() & ~held_out).groupBy(id_col).agg(F.max("toxic").cast("long").alias("toxic"))
+    known = known.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(4)))
+    known = stored(known.select(F.col(id_col).alias("_known"), "toxic", "fold"), "labels")
+    texts = docs.filter(~held_out).select(docs[id_col].alias("_known"), docs[text_col].cast("string").alias("text"))
+    # labels grow with the rows, so they are not broadcast at any size: the texts that may be learnt from cross one shuffle
+    return texts.join(known.hint("merge"), "_known").select("text", "toxic", "fold")
+
+
 def score(
     docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
-    sample: int = SAMPLE, order: int = ORDER, discount: float = DISCOUNT, floor: float = FLOOR, power: float = POWER,
+    order: int = ORDER, discount: float = DISCOUNT, floor: float = FLOOR, power: float = POWER,
 ) -> DataFrame:
     """``docs`` with the column ``_score``, 0 to 1.
 
@@ -172,21 +188,14 @@ def score(
     (a boolean Column over ``docs`` and over ``labels``, built on ``id_col``) holds are never learnt from.
     """
     spark = docs.sparkSession
-    known = labels.filter(F.col("toxic").isNotNull() & ~held_out).groupBy(id_col).agg(F.max("toxic").cast("long").alias("toxic"))
-    total = known.count()
-    draw = F.pmod(F.xxhash64(F.lit("draw"), F.col(id_col)), F.lit(1_000_000)) / 1_000_000
-    known = known.filter(draw < min(1.0, sample / max(total, 1))).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(4)))
-    known = known.select(F.col(id_col).alias("_known"), "toxic", "fold")
-    text = docs[text_col].cast("string").alias("text")
-    rows = docs.select(docs[id_col].alias("_known"), text).join(F.broadcast(known), "_known")  # about ``sample`` labels at most
-    rows = stored(rows.select("text", "toxic", "fold"), "labelled-texts")
+    rows = stored(labelled(docs, labels, held_out, id_col, text_col), "labelled-texts")
     table = ratios(rows.filter("fold <> 0").select("text", "toxic"), order, discount, floor).toPandas()
     sent = spark.sparkContext.broadcast((table["gram"].to_numpy(np.int64).view(np.uint64), table["ratio"].to_numpy(np.float64)))
     compare = _compare(sent, order, power)
     spoken = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    check = rows.filter("fold = 0").select(compare(F.coalesce("text", F.lit(""))).alias("value"), "toxic").toPandas()
-    toxic = check["toxic"].to_numpy(np.float64)
-    if len(check) and 0 < toxic.sum() < len(check) and len(table):
-        slope, shift = fit_curve(check["value"].to_numpy(np.float64), toxic)
+    check = stored(rows.filter("fold = 0").select(compare(F.coalesce("text", F.lit(""))).alias("value"), "toxic"), "compared")
+    share, seen = check.agg(F.avg("toxic"), F.count_distinct("toxic")).first()
+    if seen == 2 and len(table):
+        slope, shift = fit_curve(check)
         return docs.withColumn("_score", 1 / (1 + F.exp(-(F.lit(slope) * compare(spoken) + shift))))
-    return docs.withColumn("_score", F.lit(float(toxic.mean()) if len(check) else 0.0))
+    return docs.withColumn("_score", F.lit(float(share or 0.0)))

@@ -72,3 +72,15 @@ def test_ratios_equal_a_direct_computation(spark):
         if np.log(p[1] / p[0]) > 1.0:
             want[chars[g]] = np.log(p[1] / p[0])
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_every_labelled_row_takes_part(spark, monkeypatch):
+    n, fitted, curve = 24_000, [], []
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('aei rst ', id % 9, if(id % 10 = 0, ' kwvzum', ''), ' ins') as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 10 = 0 as int) as toxic")
+    count, fit = toxicity.ratios, toxicity.fit_curve
+    monkeypatch.setattr(toxicity, "ratios", lambda rows, *a: fitted.append(rows.count()) or count(rows, *a))
+    monkeypatch.setattr(toxicity, "fit_curve", lambda rows, *a: curve.append(rows.count()) or fit(rows, *a))
+    scored = toxicity.score(docs, labels, ids())
+    assert fitted[0] + curve[0] == n - n // 4
+    assert scored.filter((F.col("_score") >= 0.3) != (F.col("doc_id") % 10 == 0)).count() == 0
