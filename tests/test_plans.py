@@ -339,6 +339,23 @@ def test_distractors_are_the_next_fitting_ones_on_the_ring_whatever_the_rounds(s
         assert {r["paper_id"]: r["definitions"] for r in out} == {1: 30, 2: 1, 3: 3}
 
 
+
+def test_first_round_of_distractors_explodes_no_neighbours(spark, monkeypatch):
+    """Slices of a ring see all neighbours, and one round moves a text no oftener than its rows."""
+    lines = [(p, i, f"s{i}", f"Term {i}", f"alpha{i} beta{i % 5} gamma{i} body of line {i}") for p, size in ((1, 23), (2, 9), (3, 8), (4, 3), (5, 1)) for i in range(size)]
+    sources = spark.createDataFrame(lines, "paper_id int, no int, source_id string, term string, body string")
+
+    def listed(rounds):
+        return {(r["paper_id"], r["no"]): [(o["step"], o["term"]) for o in r["others"]] for r in quiz.with_distractors(sources, rounds).collect()}
+
+    want = listed((None,))
+    for rows in (4, 8):
+        monkeypatch.setattr(quiz, "RING_SLICE", rows)
+        assert listed((4, None)) == want
+    ringed = sources.selectExpr("*", "cast(no as bigint) as at", "count(1) over (partition by paper_id) as n")
+    plan = quiz._next_in_slice(ringed, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(paper_id") == 2
+
 def test_header_with_capitals_beyond_ascii_is_removed(spark):
     from marginalia.operators import clean
 
