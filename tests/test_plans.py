@@ -377,3 +377,27 @@ def test_outline_and_pool_move_a_text_once(spark, sf):
     kept = marked.filter("clean is not null").select("chunk_id", "clean", "low_prose").collect()
     assert sorted(kept) == sorted(tuple(r) for r in joined.select("chunk_id", "text", "low_prose").collect())
     assert marked._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_outline_tasks_follow_the_hits(spark, sf, monkeypatch):
+    from marginalia.operators import retrieval, skew
+
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    chunks = views.passages(spark, sf)
+    swept = retrieval.sweep_by_chunk(chunks, K.SWEEP_QUERIES, [3] * len(K.SWEEP_QUERIES))
+    # tasks sized by the bytes of their input spilled in the windows that follow
+    assert swept.rdd.getNumPartitions() == -(-swept.count() // 100) > 4
+
+
+def test_texts_read_before_they_are_listed_are_cleaned_alike(spark):
+    head = "Annals of Repeated Headers and Their Cutting, Volume Nine, " * 2
+    texts = [head + f"then the study number {n} is on the data and it was seen in the field." for n in range(4)]
+    texts += ["Figure 1: a caption", "https://host.example/1", None, "The plain text is the same in all of the sections.", "The plain text is the same in all of the sections!"]
+    rows = spark.createDataFrame([(1, f"c{n}", n + 1, n, t) for n, t in enumerate(texts)], "paper_id int, chunk_id string, page int, rank int, text string")
+    listed = clean.read_texts(rows).crossJoin(spark.createDataFrame([(0,), (1,)], "section_no int")).filter("section_no = 0 or page > 2")
+    scope = ["paper_id", "section_no"]
+    marked = clean.mark_narrative(listed, scope).filter("clean is not null").select(*scope, "chunk_id", "clean", "low_prose")
+    plain = clean.narrative_chunks(listed.drop(*clean.READ), scope, allow_fallback=False).filter("text <> ''").select(*scope, "chunk_id", "text", "low_prose")
+    assert sorted(marked.collect()) == sorted(plain.collect())
+    cut = marked.filter("chunk_id = 'c2'").collect()
+    assert {r["section_no"]: r["clean"].startswith("Annals") for r in cut} == {0: False, 1: True}  # two pages make no header
