@@ -401,3 +401,17 @@ def test_texts_read_before_they_are_listed_are_cleaned_alike(spark):
     assert sorted(marked.collect()) == sorted(plain.collect())
     cut = marked.filter("chunk_id = 'c2'").collect()
     assert {r["section_no"]: r["clean"].startswith("Annals") for r in cut} == {0: False, 1: True}  # two pages make no header
+
+
+def test_claims_are_found_once_and_take_the_snippet_of_their_citation(spark):
+    name = K.CLAIM_SECTIONS[0]
+    body = "The model reads every line of the paper and counts its words. It is trained on the whole of the text for days.\n\nNothing of this kind was ever seen in the older corpus before."
+    sections = spark.createDataFrame([(1, name, body)], "paper_id long, name string, body string")
+    cited = [(1, name, 1, 1, body.split("\n")[0], 3, "c1"), (1, name, 2, 2, "quite another matter", 4, "c2")]
+    citations = spark.createDataFrame(cited, "paper_id long, name string, position int, marker int, snippet string, page int, chunk_id string")
+    got = quiz.claim_sources(sections, citations)
+    rows = [(r["body"], r["chunk_id"], r["cited"]) for r in got.orderBy("a").collect()]
+    assert [(r[1], r[2]) for r in rows] == [("c1", cited[0][4])] * 2 + [(None, None)]
+    # the chain that finds the claims stood in the plan twice
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
