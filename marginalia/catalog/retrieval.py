@@ -181,7 +181,9 @@ QUESTIONS = "asked as (select concat(conv_id, '-', turn) as question_id, conv_id
   select *, row_number() over (partition by question_id order by score desc, chunk_id)::int as rank from dots qualify rank <= 6""",
 )
 def sparse_top_k(spark, sf):
-    return R.sparse_nearest(R.with_hash_vector(_questions(spark, sf)), _embedded(spark, sf), 6).select("question_id", "chunk_id", "score", "rank")
+    asked = _questions(spark, sf)
+    chunks = R.with_hash_vector(R.about_asked(V.passages(spark, sf), asked))
+    return R.sparse_nearest(R.with_hash_vector(asked), chunks, 6).select("question_id", "chunk_id", "score", "rank")
 
 
 @register(

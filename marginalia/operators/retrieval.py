@@ -219,11 +219,60 @@ def needed_blocks(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     return rows.select("question_id", "paper_id", "bucket", F.explode(F.transform(wanted, lambda b: b["impact"])).alias("impact"))
 
 
+FEW_QUESTIONS = 64  # questions of one paper that a chunk may meet in one row
+
+
+def about_asked(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """The rows of papers that a question is about; the rest need not be read any further."""
+    return rows.join(questions.select("paper_id").distinct(), "paper_id", "left_semi")
+
+
+def by_number_asked(questions: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Questions of papers with at most ``FEW_QUESTIONS`` of them, and the others, None where there are none."""
+    counted = questions.groupBy("paper_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > FEW_QUESTIONS)
+    many = reliable(counted.select("paper_id"))
+    if many.isEmpty():
+        return questions, None
+    return questions.join(many, "paper_id", "left_anti"), questions.join(many, "paper_id", "left_semi")
+
+
+def with_asked(rows: DataFrame, questions: DataFrame, *columns: Column | str) -> DataFrame:
+    """``rows`` of papers asked about, with ``_asked``: their questions, at most ``FEW_QUESTIONS`` structs of ``columns``."""
+    listed = questions.groupBy("paper_id").agg(F.collect_list(F.struct(*columns)).alias("_asked"))
+    return about_asked(rows, questions).join(listed, "paper_id")
+
+
+def _dot(pairs: Column, held: Column) -> Column:
+    return F.round(F.aggregate(pairs, F.lit(0.0), lambda acc, z: acc + z["weights"] * F.coalesce(F.try_element_at(held, z["buckets"]), F.lit(0.0))), SCORE_DIGITS)
+
+
+def _scored_in_place(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """question_id, paper_id, chunk_id, score of every chunk of a paper and its few questions."""
+    held = F.map_from_arrays("buckets", "weights").alias("_c")
+    met = with_asked(chunks.select("chunk_id", "paper_id", held), questions, "question_id", F.arrays_zip("buckets", "weights").alias("q"))
+    scores = F.transform("_asked", lambda a: F.struct(a["question_id"].alias("question_id"), _dot(a["q"], F.col("_c")).alias("score")))
+    return met.select("paper_id", "chunk_id", F.explode(scores).alias("s")).select("s.question_id", "paper_id", "chunk_id", "s.score")
+
+
 def sparse_nearest(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """V-04: the ``k`` best chunks of each question's paper, whatever their score.
 
-    ``questions`` and ``chunks`` hold (id, paper_id, buckets, weights). Postings lie
-    in blocks of like impact; a question reads only the blocks that can hold one of
+    ``questions`` and ``chunks`` hold (id, paper_id, buckets, weights). A chunk meets
+    the few questions of its paper in one row, and only ids and scores move on. Papers
+    with more than ``FEW_QUESTIONS`` go through :func:`_scored_by_postings`.
+    """
+    few, many = by_number_asked(questions)
+    scored = _scored_in_place(few, chunks)
+    if many is not None:
+        scored = scored.unionByName(_scored_by_postings(many, about_asked(chunks, many), k))
+    either = scored.groupBy("question_id", "paper_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top_per_key(either, ["question_id"], [F.desc("score"), F.col("chunk_id")], k, "rank")
+
+
+def _scored_by_postings(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """question_id, paper_id, chunk_id, score of all chunks that may be among the ``k`` best.
+
+    Postings lie in blocks of like impact; a question reads only the blocks that can hold one of
     its ``k`` best, and the chunks found there are scored whole, on their own
     vectors. Large blocks are spread over parts. A question with fewer than ``k``
     such chunks is filled up with score 0 from its paper's first chunks, of which
@@ -242,14 +291,11 @@ def sparse_nearest(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame
     vectors = chunks.select("chunk_id", "paper_id", F.map_from_arrays("buckets", "weights").alias("_c"))
     texts = questions.select("question_id", "paper_id", F.arrays_zip("buckets", "weights").alias("_q"))
     both = found.join(vectors, ["chunk_id", "paper_id"]).join(texts, ["question_id", "paper_id"])
-    dot = F.aggregate("_q", F.lit(0.0), lambda acc, z: acc + z["weights"] * F.coalesce(F.try_element_at(F.col("_c"), z["buckets"]), F.lit(0.0)))
-    scored = both.select("question_id", "paper_id", "chunk_id", F.round(dot, SCORE_DIGITS).alias("score"))
-    order = [F.desc("score"), F.col("chunk_id")]
-    best = top_per_key(scored, ["question_id"], order, k, "rank").drop("rank")
+    scored = both.select("question_id", "paper_id", "chunk_id", _dot(F.col("_q"), F.col("_c")).alias("score"))
+    best = top_per_key(scored, ["question_id"], [F.desc("score"), F.col("chunk_id")], k, "rank").drop("rank")
     first = top_per_key(chunks.select("paper_id", "chunk_id"), ["paper_id"], [F.col("chunk_id")], k, "_n").drop("_n")
     blank = questions.select("question_id", "paper_id").join(first, "paper_id").withColumn("score", F.lit(0.0))
-    either = best.unionByName(blank).groupBy("question_id", "paper_id", "chunk_id").agg(F.max("score").alias("score"))
-    return top_per_key(either, ["question_id"], order, k, "rank")
+    return best.unionByName(blank)
 
 
 # --- dense top-k ----------------------------------------------------------------
@@ -547,8 +593,35 @@ def relevant_figures(questions: DataFrame, media: DataFrame, used_pages: DataFra
         F.regexp_extract("label", r"(\d{1,3})\s*$", 1).try_cast("int").alias("number"),
         long_words(F.col("caption")).alias("m_words"),
     )
+    few, many = by_number_asked(q)
+    scored = _figures_in_place(few, m, used_pages)
+    if many is not None:
+        scored = scored.unionByName(_figures_by_joins(many, about_asked(m, many), used_pages))
+    return top_per_key(scored.filter(F.col("score") > 0), ["question_id"], [F.desc("score"), F.col("position")], k, "rank").select(
+        "question_id", "media_id", "label", "score", "rank"
+    )
+
+
+def _figure_score(asked: Column, used: Column, common: Column) -> Column:
+    return F.when(asked, 10).otherwise(0) + F.when(used, 3).otherwise(0) + F.least(F.lit(3), common)
+
+
+def _figures_in_place(q: DataFrame, m: DataFrame, used_pages: DataFrame) -> DataFrame:
+    """A figure meets the few questions of its paper in one row."""
+    pages = used_pages.groupBy("question_id").agg(F.collect_set("page").alias("pages"))
+    met = with_asked(m, q.join(pages, "question_id", "left"), "question_id", "asked", "q_words", "pages")
+
+    def score(a: Column) -> Column:
+        common = F.size(F.array_intersect(a["q_words"], F.col("m_words")))
+        return _figure_score(F.array_contains(a["asked"], F.col("number")), F.array_contains(a["pages"], F.col("page")), common)
+
+    scores = F.transform("_asked", lambda a: F.struct(a["question_id"].alias("question_id"), score(a).alias("score")))
+    return met.select("media_id", "label", "position", F.explode(scores).alias("s")).select("s.question_id", "media_id", "label", "position", "s.score")
+
+
+def _figures_by_joins(q: DataFrame, m: DataFrame, used_pages: DataFrame) -> DataFrame:
+    """A pair scores only by a number, a page or a word that both name, so each of them is an equi-join."""
     used = used_pages.distinct().withColumn("used", F.lit(True))
-    # a pair scores only by a number, a page or a word that both name, so each of them is an equi-join
     by_number = q.select("question_id", "paper_id", F.explode("asked").alias("number")).join(m, ["paper_id", "number"])
     by_page = q.select("question_id", "paper_id").join(used, "question_id").join(m, ["paper_id", "page"])
     by_word = q.select("question_id", "paper_id", F.explode("q_words").alias("_w")).join(
@@ -557,15 +630,8 @@ def relevant_figures(questions: DataFrame, media: DataFrame, used_pages: DataFra
     met = [rows.select("question_id", "paper_id", "media_id") for rows in (by_number, by_page, by_word)]
     found = met[0].unionByName(met[1]).unionByName(met[2]).distinct()
     pairs = found.join(q, ["question_id", "paper_id"]).join(m, ["paper_id", "media_id"]).join(used, ["question_id", "page"], "left")
-    score = (
-        F.when(F.array_contains("asked", F.col("number")), 10).otherwise(0)
-        + F.when(F.col("used"), 3).otherwise(0)
-        + F.least(F.lit(3), F.size(F.array_intersect("q_words", "m_words")))
-    )
-    ranked = pairs.withColumn("score", score).filter(F.col("score") > 0)
-    return top_per_key(ranked, ["question_id"], [F.desc("score"), F.col("position")], k, "rank").select(
-        "question_id", "media_id", "label", "score", "rank"
-    )
+    score = _figure_score(F.array_contains("asked", F.col("number")), F.col("used"), F.size(F.array_intersect("q_words", "m_words")))
+    return pairs.withColumn("score", score).select("question_id", "media_id", "label", "position", "score")
 
 
 def grounding_ids(cited: Column, retrieved: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.citations import intent
@@ -29,11 +30,18 @@ def answer_context(questions: DataFrame, chunks: DataFrame, top_k: int = TOP_K)
 
     questions(question_id, paper_id, text), chunks(paper_id, chunk_id, page, text).
     """
-    hits = R.sparse_nearest(R.with_hash_vector(questions), R.with_hash_vector(chunks), top_k * OVERFETCH)
-    found = hits.join(chunks, ["paper_id", "chunk_id"]).select("question_id", "chunk_id", "page", "text", "rank")
-    cleaned = N.narrative_chunks(found, ["question_id"], allow_fallback=False)
-    raw = found.join(cleaned.select("question_id").distinct(), "question_id", "left_anti").withColumn("low_prose", F.lit(False))
-    return N.diversify(cleaned.unionByName(raw), ["question_id"], top_k, ["low_prose", "rank"])
+    return _context(questions, reliable(R.about_asked(chunks, questions)), top_k)
+
+
+def _context(questions: DataFrame, asked: DataFrame, top_k: int) -> DataFrame:
+    """:func:`answer_context` from the stored chunks of the papers asked about; windows clean the few hits of a question."""
+    hits = R.sparse_nearest(R.with_hash_vector(questions), R.with_hash_vector(asked), top_k * OVERFETCH)
+    found = hits.join(asked, ["paper_id", "chunk_id"]).select("question_id", "chunk_id", "page", "text", "rank")
+    marked = N.mark_narrative(found, ["question_id"])
+    marked = marked.withColumn("_any", F.max(F.col("clean").isNotNull()).over(W.partitionBy("question_id")))
+    kept = marked.filter(F.col("clean").isNotNull() | ~F.col("_any"))
+    rows = kept.withColumn("text", F.coalesce("clean", "text")).withColumn("low_prose", F.coalesce("low_prose", F.lit(False)))
+    return N.diversify(rows, ["question_id"], top_k, ["low_prose", "rank"])
 
 
 def draft_answers(questions: DataFrame, context: DataFrame) -> DataFrame:
@@ -58,9 +66,10 @@ def answers(questions: DataFrame, chunks: DataFrame, media: DataFrame, top_k: in
 
     ``media`` as in ``relevant_figures``. At most ``top_k`` chunk ids and three figures a question.
     """
-    context = reliable(answer_context(questions, chunks, top_k))
+    asked = reliable(R.about_asked(chunks, questions))
+    context = reliable(_context(questions, asked, top_k))
     cited = context.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))).alias("cited"))
-    shown = R.relevant_figures(questions, media, used_pages(context, chunks))
+    shown = R.relevant_figures(questions, media, used_pages(context, asked))
     figures = shown.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "media_id"))).alias("figures"))
     rows = draft_answers(questions, context).join(cited, "question_id", "left").join(figures, "question_id", "left")
     none = F.array().cast("array<string>")

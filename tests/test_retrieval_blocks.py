@@ -137,3 +137,52 @@ def test_few_citations_cross_no_shuffle_of_words(spark):
     assert sorted((r.paper_id, r.line_no, r.chunk_id) for r in got.collect()) == [(1, 0, "c3"), (1, 1, "c2"), (2, 0, "d70")]
     few = report.match_citations(spark.createDataFrame(lines[:3], LINES), spark.createDataFrame(cited[:5], CITED), ["paper_id"])
     assert "Window" not in few._jdf.queryExecution().optimizedPlan().toString()  # no word is ranked, no pair is listed
+
+
+@pytest.mark.parametrize("few", [64, 2])
+def test_few_and_many_questions_of_a_paper_give_the_same_chunks(spark, monkeypatch, few):
+    monkeypatch.setattr(retrieval, "FEW_QUESTIONS", few)
+    monkeypatch.setattr(retrieval, "HOT_POSTINGS", 3)
+    rng = random.Random(5)
+    chunks = [*_passages(rng, 3, 60), (7, "7-0", "alone"), (7, "7-1", "")]
+    asked = [(f"q{i}", rng.choice([0, 0, 1, 7]), " ".join(f"w{rng.randrange(250)}" for _ in range(rng.randint(1, 9)))) for i in range(20)]
+    asked += [("one", 2, "w1 w2"), ("blank", 1, " "), ("nowhere", 99, "w1"), ("nothing", None, "w1")]
+    c = retrieval.with_hash_vector(spark.createDataFrame(chunks, "paper_id int, chunk_id string, text string"))
+    q = retrieval.with_hash_vector(spark.createDataFrame(asked, "question_id string, paper_id int, text string"))
+    got = sorted((r.question_id, r.chunk_id, r["rank"], r.score) for r in retrieval.sparse_nearest(q, c, 5).collect())
+    assert [(a, b, n, pytest.approx(s, abs=2e-9)) for a, b, n, s in _sparse_direct(asked, chunks, 5)] == got
+
+
+def test_only_chunks_of_papers_asked_about_are_vectorised(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, "one two\nthree"), (2, "four")], "doc_id long, text string").write.parquet(path)
+    lines = spark.read.parquet(path).select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    asked = spark.createDataFrame([("q", 1, "two")], "question_id string, paper_id long, text string")
+    chunks = retrieval.about_asked(lines.withColumn("chunk_id", F.concat_ws("-", "paper_id", "n")), asked)
+    found = retrieval.sparse_nearest(retrieval.with_hash_vector(asked), retrieval.with_hash_vector(chunks), 3)
+    assert [(r.question_id, r.chunk_id) for r in found.orderBy("rank").collect()] == [("q", "1-0"), ("q", "1-1")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("LeftSemi") > plan.index("Generate explode(array(") and "impact" not in plan  # below the vectors
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_figures_of_few_and_many_questions(spark, monkeypatch, few):
+    monkeypatch.setattr(retrieval, "FEW_QUESTIONS", few)
+    media = [(1, f"m{i}", i, f"Figure {i + 1}", f"alpha{i % 4} beta{i % 3} gamma", i // 2 + 1) for i in range(9)] + [(2, "n", 0, None, None, None)]
+    asked = [("a", 1, "alpha1 beta2 in figure 3"), ("b", 1, "nothing"), ("c", 2, "alpha1"), ("d", 1, "gamma beta1"), ("e", None, "gamma")]
+    used = [("a", 1), ("a", 1), ("b", 4), ("c", 1), ("d", None)]
+    out = retrieval.relevant_figures(
+        spark.createDataFrame(asked, "question_id string, paper_id int, text string"),
+        spark.createDataFrame(media, "paper_id int, media_id string, position int, label string, caption string, page int"),
+        spark.createDataFrame(used, "question_id string, page int"),
+    )
+    words = lambda t: {w for w in re.findall("[a-z0-9]+", t or "") if len(w) > 3}
+    want = []
+    for q, paper, text in asked:
+        numbers = [int(n) for n in re.findall(r"figure (\d+)", text)]
+        scored = [
+            (-(10 * (i + 1 in numbers) + 3 * ((q, page) in used and page is not None) + min(3, len(words(text) & words(caption)))), i, m)
+            for p, m, i, _, caption, page in media if p == paper
+        ]
+        want += [(q, m, -s, n) for n, (s, _, m) in enumerate(sorted(x for x in scored if x[0])[:3], 1)]
+    assert sorted((r.question_id, r.media_id, r.score, r["rank"]) for r in out.collect()) == sorted(want)
