@@ -415,3 +415,10 @@ def test_claims_are_found_once_and_take_the_snippet_of_their_citation(spark):
     # the chain that finds the claims stood in the plan twice
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_ocr_words_travel_without_structs(spark):
+    rows = [(1, 2, "beta", 50), (1, 0, "alpha", 90), (1, 1, "skipped", -1), (2, 0, "tiny", 10)]
+    out = layout.ocr_regions(spark.createDataFrame(rows, "id int, position int, word string, conf int"), ["id"])
+    assert [tuple(r) for r in out.collect()] == [(1, "alpha beta", 0.7)]
+    assert "collect_list(struct" not in out._jdf.queryExecution().optimizedPlan().toString()
