@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.functions import constants as K
-from marginalia.operators import chunking, clean, layout, retrieval
+from marginalia.operators import chunking, clean, layout, mining, retrieval
 from marginalia.plans import deck, quiz, report
 from marginalia.sources import views
 
@@ -417,6 +417,14 @@ def test_claims_are_found_once_and_take_the_snippet_of_their_citation(spark):
     assert "posexplode" not in plan
 
 
+def test_named_sentences_are_found_whatever_their_blanks(spark):
+    rows = [(1, 1, "c", "It DOES \n not work at all in the dark conditions of a cave. The other lines say nothing of the kind to anyone.")]
+    chunks = spark.createDataFrame(rows, "paper_id long, rank int, chunk_id string, text string")
+    every = [r.sentence for r in mining.sentence_candidates(chunks, ["paper_id"]).collect()]
+    named = [r.sentence for r in mining.sentence_candidates(chunks, ["paper_id"], ["does not", "a.b"]).collect()]
+    assert len(every) == 2 and named == ["It DOES not work at all in the dark conditions of a cave."]
+
+
 def test_ocr_words_travel_without_structs(spark):
     rows = [(1, 2, "beta", 50), (1, 0, "alpha", 90), (1, 1, "skipped", -1), (2, 0, "tiny", 10)]
     out = layout.ocr_regions(spark.createDataFrame(rows, "id int, position int, word string, conf int"), ["id"])
