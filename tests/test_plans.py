@@ -417,6 +417,15 @@ def test_claims_are_found_once_and_take_the_snippet_of_their_citation(spark):
     assert "posexplode" not in plan
 
 
+def test_glance_makes_its_candidates_once_and_keeps_papers_without_any_label(spark):
+    rows = [(1, 1, "We propose a novel method for the problem of reading long texts aloud."), (2, 1, "Nothing of that kind stands in this long and plain line of text.")]
+    inputs = spark.createDataFrame(rows, "paper_id long, marker int, text string").withColumn("chunk_id", F.lit("c"))
+    out = report.glance_draft(report.glance_candidates(inputs, None))
+    bodies = dict(out.collect())
+    assert "We propose a novel method" in bodies[1] and bodies[2].count("Not stated in the retrieved passages.") == 5
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+
+
 def test_named_sentences_are_found_whatever_their_blanks(spark):
     rows = [(1, 1, "c", "It DOES \n not work at all in the dark conditions of a cave. The other lines say nothing of the kind to anyone.")]
     chunks = spark.createDataFrame(rows, "paper_id long, rank int, chunk_id string, text string")
