@@ -54,15 +54,24 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 def key_hashes(key: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes of a key."""
-    return F.xxhash64(key), F.xxhash64(key, F.lit("second"))
+    return F.xxhash64(key), F.xxhash64(F.lit("second"), key)  # the key comes last, or the second would follow from the first
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of ``x``."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _places(one: np.ndarray, two: np.ndarray, level: int, hashes: int, bits: int) -> Iterator[np.ndarray]:
-    """Bit positions of keys on a level: double hashing, mixed anew on every level."""
+    """Bit positions of keys on a level: double hashing, both hashes mixed anew on every level.
+
+    Two keys that meet on one level must not meet on the next for that reason, or no filter ever tells them apart.
+    """
     with np.errstate(over="ignore"):
-        mixed = one.view(np.uint64) ^ (np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15))
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        step = (two.view(np.uint64) ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+        mixed = _mix(one.view(np.uint64) ^ _mix(two.view(np.uint64) + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)))
+        step = _mix(two.view(np.uint64) ^ mixed) | np.uint64(1)
         for i in range(hashes):
             yield ((mixed + np.uint64(i) * step) >> np.uint64(11)) % np.uint64(bits)
 

@@ -91,3 +91,33 @@ def test_cascade_in_shards_and_slices(spark):
         out = url_filter.with_membership(rows.select("key").distinct(), "key", cascade, most=most).collect()
         assert len(out) == 5001
         assert all(r["listed"] == (r["key"] is not None and (r["key"] == "k1" or int(r["key"][1:]) % 7 == 0)) for r in out)
+
+
+def test_cascade_ends_for_keys_alike_in_low_bits():
+    """A pair whose first hashes agree in their low bits once met on every small level, and the cascade never ended."""
+    one = np.array([0, 1 << 40, 1 << 50, (1 << 40) + (1 << 50)], np.int64)
+    two = np.array([5, 6, 7, 8], np.int64)
+    listed = np.array([True, False, True, False])
+    levels = url_filter.build_levels(one, two, listed)
+    assert len(levels) < 50
+    assert (url_filter.listed_by(levels, one, two) == listed).all()
+    for same in (one, two):  # either hash alone tells two keys apart
+        other = np.full(4, 3, np.int64)
+        pair = (same, other) if same is one else (other, same)
+        assert (url_filter.listed_by(url_filter.build_levels(*pair, listed), *pair) == listed).all()
+
+
+def test_many_shards_end():
+    rng = np.random.default_rng(0)
+    for _ in range(40):
+        one, two = (rng.integers(-(2**63), 2**63 - 1, 16_384) for _ in range(2))
+        levels = url_filter.build_levels(one, two, rng.random(16_384) < 0.3)
+        assert len(levels) < 60
+
+
+def test_the_two_hashes_are_no_function_of_each_other(spark):
+    """Chained in the other order, keys that share the first hash shared the second too."""
+    one, two = url_filter.key_hashes(F.concat(F.lit("k"), F.col("id")))
+    chained = F.xxhash64(F.concat(F.lit("k"), F.col("id")), F.lit("second"))
+    assert spark.range(100).filter(two == chained).count() == 0
+    assert spark.range(100).select(one.alias("a"), two.alias("b")).distinct().count() == 100
