@@ -188,3 +188,16 @@ def test_compatibility_fold_equals_the_standard(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: r.f for r in rows.select("i", G.fold_compatibility(F.col("text")).alias("f")).collect()}
     assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != unicodedata.normalize("NFKC", t)] == []
+
+
+def test_no_pattern_lists_the_characters_of_the_fold(spark, one):
+    """A class of a thousand characters is tried one by one on every character of a text that is not all ASCII."""
+    plan = spark.range(1).select(G.fold_compatibility(F.lit("é").substr(F.col("id").cast("int"), F.lit(1))))._jdf.queryExecution().analyzed().toString()
+    assert "\\x{" not in plan
+    long = "café ½ of ﬃ, 1 ㎏ and more " * 40
+    assert one(G.fold_compatibility, long, "x…", "…\n…", "né") == [unicodedata.normalize("NFKC", t) for t in (long, "x…", "…\n…", "né")]
+
+
+def test_tokens_with_and_without_joints(one):
+    got = one(G.content_tokens, "State-of-the-art models don't use 3-gram counts 12.5% plain", "a-b it's --x--", "")
+    assert got == [["state", "art", "models", "don", "3", "gram", "counts", "12.5%", "plain"], [], []]
