@@ -439,3 +439,27 @@ def test_ocr_words_travel_without_structs(spark):
     out = layout.ocr_regions(spark.createDataFrame(rows, "id int, position int, word string, conf int"), ["id"])
     assert [tuple(r) for r in out.collect()] == [(1, "alpha beta", 0.7)]
     assert "collect_list(struct" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rejected_drafts_take_no_slot_of_a_quiz(spark, monkeypatch):
+    """Validation comes before the choice: a quiz is full as long as valid drafts are left."""
+    schema = (
+        "paper_id long, family string, kind string, difficulty string, seq int, prompt string, options array<struct<id:string,text:string>>,"
+        " correct_option_id string, correct_answer_text string, accepted_answers array<string>, explanation string, source_id string, anchor string"
+    )
+
+    def draft(seq, source, prompt, explanation, answer):
+        return (1, "numeric", "short_answer", "recall", seq, prompt, [], None, answer, [answer], explanation, source, f"a{seq}")
+
+    said = "The paper states this value plainly."
+    rows = [
+        draft(0, "s1", "Which value is missing here: 37?", said, "37"),  # tells its answer
+        draft(1, "s1", "Which value is missing there?", said, "38"),
+        draft(2, "s2", "Which value is missing at the end?", "Too short.", "39"),
+        draft(3, "s3", "Which value is missing at the start?", said, "40"),
+    ]
+    monkeypatch.setattr(quiz, "draft_pool", lambda sources: spark.createDataFrame(rows, schema))
+    sources = spark.createDataFrame([(1, f"s{i}", "Methods", 1, f"c{i}", "x") for i in (1, 2, 3)], "paper_id long, source_id string, section string, page int, chunk_id string, snippet string")
+    none = spark.createDataFrame([], "paper_id long, prompt string")
+    got = sorted((q["index"], q["correct_answer_text"]) for q in quiz.build_quizzes(sources, none, 2).collect())
+    assert got == [(0, "38"), (1, "40")]
